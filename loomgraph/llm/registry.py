@@ -35,6 +35,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(documents(spark, sf_dir))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.lm_scoring import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mixed
 
@@ -47,8 +53,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_packing, op4_media_columns, op6_mixing, op7_line_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op9_fingerprints, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
