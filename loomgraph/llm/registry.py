@@ -17,6 +17,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.jaccard_join import link_components
+
+    return link_components(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.token_counts import token_counts
 
@@ -66,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op9_fingerprints, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op9_fingerprints, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
