@@ -77,8 +77,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op8_substring_dedup, op9_fingerprints, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op8_substring_dedup, op9_fingerprints, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
