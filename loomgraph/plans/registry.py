@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+from collections.abc import Callable
 
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
 
-def queries() -> dict:
+#: Modules that register queries when they are imported.
+MODULES = ("graph_queries",)
+
+
+def query(oracle: str | None = None) -> Callable:
+    """Registers a query (spark, sf_dir) under its own name, with the SQL that gives its rows."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"loomgraph.plans.{name}")
+
+
+def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
