@@ -226,6 +226,14 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def sets_of(docs: DataFrame, pairs: DataFrame, orders: Orders) -> DataFrame:
+    """(rep, second, third, hashes) of the documents that a pair names, and of a few more that the filter lets through."""
+    members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    log2 = log2_bits(members.count(), 16)
+    wanted = TwiceSeen(members.mapInArrow(_member_sketch(log2), ROWS), log2)
+    return materialize(docs.mapInArrow(_sets(orders, wanted.test()), SETS), "shingle-sets")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that share prefixes under the other orders and then are alike on their whole sets."""
 
@@ -268,17 +276,12 @@ def link_components(docs: DataFrame) -> DataFrame:
     rows = materialize(rows.withColumn("band", band).drop("digest"), "prefix-rows")
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     rows = materialize(rows.join(often, "token", "left_semi"), "shared-prefix-rows")
-    members = rows.select("rep").distinct()
-    log2 = log2_bits(members.count(), 16)
-    wanted = TwiceSeen(members.mapInArrow(_member_sketch(log2), ROWS), log2)
-    sets = materialize(slim.mapInArrow(_sets(orders, wanted.test()), SETS), "shingle-sets")
-
     hubs = rows.groupBy("token", "band").agg(F.min(F.struct("n", "rep", "pos")).alias("h")).select("token", "band", "h.*")
     reach = hubs.union(hubs.withColumn("band", F.col("band") + 1))
     x, y = rows.alias("x"), reach.alias("y")
     stars = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") != F.col("y.rep")) & _possible("x", "y"))
     proposed = materialize(stars.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "hub-pairs")
-    links = verified(proposed, sets)
+    links = verified(proposed, sets_of(slim, proposed, orders))
     labels = component_labels(links, "a", "b")
 
     known = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -290,7 +293,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.reach") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & smaller & _possible("x", "y"))
     others = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     others = materialize(others.join(proposed, ["a", "b"], "left_anti"), "open-pairs")
-    more = verified(others, sets)
+    more = verified(others, sets_of(slim, others, orders))
     if more.limit(1).count():
         labels = component_labels(links.union(more), "a", "b")
 
