@@ -54,6 +54,8 @@ def sketch_rows(groups: Iterable[np.ndarray], log2: int) -> Iterator[pa.RecordBa
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         out = {}
         for k, part in enumerate((values, values[counts > 1])):
+            if not len(part):
+                continue
             at = np.unique(np.concatenate(positions(part, log2)))
             low = at & np.uint64((1 << SEGMENT_LOG2) - 1)
             segment = (at >> np.uint64(SEGMENT_LOG2)).astype(np.int64)
