@@ -22,7 +22,7 @@ from loomgraph.llm.arrow_tools import slices, strings
 
 BLOCK, CODED, FRAME_BLOCKS, RATE = 64, 80, 64, 25
 BINS = 16
-#: A cut: a difference over the mean of the last WINDOW ones by so many deviations, and over a floor.
+#: A cut: a difference over the mean of the last WINDOW ones in its shot by so many deviations, and over a floor.
 WINDOW, DEVIATIONS, FLOOR = 8, 3.0, 0.15
 
 
@@ -203,7 +203,7 @@ def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
     steps = np.abs(np.diff(histograms, axis=0)).sum(1) / 2
     cuts = [0]
     for k, d in enumerate(steps.tolist()):
-        past = steps[max(0, k - WINDOW) : k]
+        past = steps[max(cuts[-1], k - WINDOW) : k]
         if d > FLOOR and (not len(past) or d > past.mean() + DEVIATIONS * past.std() + FLOOR / 2):
             cuts.append(k + 1)
     return [(a, b - a) for a, b in zip(cuts, [*cuts[1:], len(histograms)], strict=True)]
