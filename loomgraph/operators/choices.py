@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph
+from loomgraph.operators.blocks import all_of, forest_layers
 from loomgraph.operators.components import component_labels
 from loomgraph.session import materialize
 
@@ -60,20 +61,8 @@ def bridges(graph: Graph, seed: int = 1) -> DataFrame:
     """
     pairs = graph.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     pairs = materialize(pairs, "bridge-pairs")
-    both = materialize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")), "bridge-links")
-    roots = component_labels(pairs, "a", "b").select(F.col("component").alias("id")).distinct()
-    layer = materialize(roots.select("id", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")), "bridge-layer")
-    layers = [layer]
-    seen = layer
-    while True:
-        reached = layer.join(both, layer.id == both.src).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        layer = materialize(reached.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(len(layers))), "bridge-layer")
-        if not layer.limit(1).count():
-            break
-        layers.append(layer)
-        seen = seen.union(layer)
-        if len(layers) % 8 == 0:
-            seen = materialize(seen, "bridge-seen")
+    layers = forest_layers(pairs)
+    seen = all_of(layers)
     tree = materialize(seen.where("parent IS NOT NULL").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b")), "bridge-tree")
     single = pairs.where("n = 1").join(tree, ["a", "b"], "left_anti").select("a", "b")
     extra = pairs.where("n > 1").select("a", "b")

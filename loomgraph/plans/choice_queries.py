@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import choices
+from loomgraph.operators import blocks, choices
 from loomgraph.plans import sql
 from loomgraph.plans.graph_queries import acyclic, flag, sparse, split
 from loomgraph.plans.registry import query
@@ -52,3 +52,13 @@ def simple_paths(spark, sf_dir):
 @query(f"WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, d AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) - (SELECT count(*) FROM e WHERE dst = id) AS k FROM n), c(id, other) AS (SELECT src, src FROM u UNION SELECT c.id, u.dst FROM c JOIN u ON c.other = u.src) SELECT (SELECT count(DISTINCT m) = 1 FROM (SELECT min(other) AS m FROM c GROUP BY id)) AND bool_and(abs(k) <= 1) AND count(*) FILTER (WHERE k = 1) <= 1 AND count(*) FILTER (WHERE k = -1) <= 1 AS has_trail FROM d")
 def euler_trail_exists(spark, sf_dir):
     return flag(spark, "has_trail", choices.euler_check(sparse(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {sql.SPLIT}, {sql.BOTH}, r(gone, start, id) AS (SELECT g.id, a.id, a.id FROM n g, n a WHERE a.id <> g.id UNION SELECT r.gone, r.start, u.dst FROM r JOIN u ON r.id = u.src WHERE u.dst <> r.gone), c AS (SELECT gone, start, min(id) AS label FROM r GROUP BY 1, 2) SELECT DISTINCT x.src AS id FROM u x JOIN u y ON x.src = y.src JOIN c a ON a.gone = x.src AND a.start = x.dst JOIN c b ON b.gone = x.src AND b.start = y.dst WHERE a.label <> b.label")
+def articulation_points(spark, sf_dir):
+    return blocks.articulation_points(split(spark, sf_dir))
+
+
+@query()
+def biconnected_components(spark, sf_dir):
+    return blocks.blocks(split(spark, sf_dir)).select("group_id", "block", "id")
