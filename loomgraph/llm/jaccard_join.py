@@ -172,11 +172,11 @@ def _prefix_rows(orders: Orders, seen: Callable) -> Callable:
     return run
 
 
-SETS = "rep long, second binary, third binary, hashes binary"
+SETS = "rep long, n int, second binary, third binary, hashes binary"
 
 
 def _sets(orders: Orders, wanted: Callable) -> Callable:
-    schema = pa.schema([("rep", pa.int64()), ("second", pa.binary()), ("third", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("second", pa.binary()), ("third", pa.binary()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -185,7 +185,7 @@ def _sets(orders: Orders, wanted: Callable) -> Callable:
             if part.num_rows:
                 sets = list(shingle_sets(part.column("text")))
                 short = [[np.sort((orders.prefix(s, k) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for s in sets] for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.binary()) for x in (*short, [s.tobytes() for s in sets]))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.binary()) for x in (*short, [s.tobytes() for s in sets]))], schema=schema)
 
     return run
 
@@ -208,11 +208,20 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _share_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose prefixes leave the likeness possible under both other orders.
+
+    What two sets share lies in both prefixes, or beyond the prefix that ends first in that order. So they share at most
+    what their prefixes share and the rest of one of them.
+    """
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
+        n, m = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
         for name in ("second", "third"):
             for k, (x, y) in enumerate(zip(batch.column(f"{name}_a").to_pylist(), batch.column(f"{name}_b").to_pylist(), strict=True)):
-                keep[k] &= _common(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) > 0
+                if keep[k]:
+                    shared = _common(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))
+                    rest = max(n[k] - prefix_length(n[k]), m[k] - prefix_length(m[k]))
+                    keep[k] = shared > 0 and (NUMERATOR + DENOMINATOR) * (shared + rest) >= NUMERATOR * (n[k] + m[k])
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -242,7 +251,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             rows = rows.join(sets.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
         return rows
 
-    left = materialize(joined(pairs, ["second", "third"]).mapInArrow(_share_prefixes, "a long, b long"), "filtered-pairs")
+    left = materialize(joined(pairs, ["n", "second", "third"]).mapInArrow(_share_prefixes, "a long, b long"), "filtered-pairs")
     return materialize(joined(left, ["hashes"]).mapInArrow(_alike, "a long, b long"), "links")
 
 
