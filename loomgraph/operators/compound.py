@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import materialize
+
 MAX_DEPTH = 8
 
 
@@ -13,13 +15,15 @@ class CompoundError(ValueError):
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor, depth): every container above a node, the nearest at depth 1; at most MAX_DEPTH joins."""
-    parents = nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"))
+    """(id, ancestor, depth): every container above a node, the nearest at depth 1; a join for each level there is, at most MAX_DEPTH."""
+    parents = materialize(nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor")), "parents")
+    up = parents.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"))
     level = parents.withColumn("depth", F.lit(1))
     out = level
     for depth in range(2, MAX_DEPTH + 1):
-        up = parents.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"))
-        level = level.join(up, "ancestor").select("id", F.col("above").alias("ancestor"), F.lit(depth).alias("depth"))
+        level = materialize(level.join(up, "ancestor").select("id", F.col("above").alias("ancestor"), F.lit(depth).alias("depth")), "ancestors")
+        if not level.limit(1).count():
+            break
         out = out.union(level)
     return out
 
@@ -34,12 +38,14 @@ def visibility(nodes: DataFrame) -> DataFrame:
 
     proxy is the nearest visible container of a hidden node, and a visible node itself.
     """
+    chain = ancestors(nodes)
     flags = nodes.select(F.col("id").alias("ancestor"), "collapsed")
-    up = ancestors(nodes).join(flags, "ancestor", "left").withColumn("closed", F.coalesce("collapsed", F.lit(True)))
+    up = chain.join(flags, "ancestor", "left").withColumn("closed", F.coalesce("collapsed", F.lit(True)))
     hidden = up.groupBy("id").agg(F.max("closed").alias("under"))
     seen = nodes.select("id", "collapsed").join(hidden, "id", "left").select("id", (F.col("collapsed") | ~F.coalesce("under", F.lit(False))).alias("visible"))
+    seen = materialize(seen, "visible")
     open_ = seen.where("visible").select(F.col("id").alias("ancestor"))
-    nearest = ancestors(nodes).join(open_, "ancestor", "left_semi").groupBy("id").agg(F.min_by("ancestor", "depth").alias("near"))
+    nearest = chain.join(open_, "ancestor", "left_semi").groupBy("id").agg(F.min_by("ancestor", "depth").alias("near"))
     return seen.join(nearest, "id", "left").select("id", "visible", F.when(F.col("visible"), F.col("id")).otherwise(F.col("near")).alias("proxy"))
 
 
