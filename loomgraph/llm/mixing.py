@@ -52,9 +52,10 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, total: Co
         pairs = [F.lit(x) for k, v in weights.items() for x in (k, float(v))]
         share = F.coalesce(F.try_element_at(F.create_map(*pairs), F.coalesce(F.col("source"), F.lit(""))), F.lit(0.0)) if pairs else F.lit(0.0)
     weighted = sizes.withColumn("share", share)
-    whole = weighted.agg(F.sum("share").alias("shares"), (total if total is not None else F.sum("n")).cast("double").alias("total"))
-    rate = F.when(F.col("shares") > 0, F.col("share") / F.col("shares") * F.col("total") / F.col("n")).otherwise(F.lit(0.0))
-    return weighted.join(F.broadcast(whole)).select("source", rate.alias("rate"))
+    whole = weighted.agg(F.sum("share").alias("shares"), (total if total is not None else F.sum("n")).cast("double").alias("total")).first()
+    if not whole["shares"]:
+        return weighted.select("source", F.lit(0.0).alias("rate"))
+    return weighted.select("source", (F.col("share") / F.lit(whole["shares"]) * F.lit(whole["total"]) / F.col("n")).alias("rate"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: str = "mix-1", total: Column | None = None) -> DataFrame:
