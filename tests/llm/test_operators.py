@@ -302,6 +302,18 @@ def test_peeling_recovers_the_difference(spark):
     assert near[0] == near[1] and abs(near[0] - (1 - 20 / 120)) < 0.03
 
 
+def test_paragraphs_do_not_depend_on_the_length(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    for limit in (1024, 4096, 16384):
+        shorter = ". ".join(prose(rng, 9) for _ in range(limit))[: limit - 20]
+        longer = shorter + " and then forty more characters at the end"
+        keys = spark.createDataFrame([(0, shorter), (1, longer)], "id int, text string").select("id", fingerprints.paragraph_keys(F.col("text")).alias("keys"))
+        a, b = (set(r.keys) for r in keys.orderBy("id").collect())
+        assert len(a & b) >= len(a) - 1
+
+
 def toxic_table(spark):
     rng = random.Random(13)
     rows, labels = [], []
