@@ -302,6 +302,18 @@ def test_peeling_recovers_the_difference(spark):
     assert near[0] == near[1] and abs(near[0] - (1 - 20 / 120)) < 0.03
 
 
+def test_digests_are_recovered_whatever_differs(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["\n".join(f"{name} {k}" for k in range(n)) for name, n in (("one", 900), ("two", 700), ("three", 5))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r.doc_id: set(r.keys) for r in docs.select("doc_id", fingerprints.paragraph_keys(F.col("text")).alias("keys")).collect()}
+    for r in fingerprints.fingerprint_report(docs).collect():
+        a, b = keys[r.doc_id], keys[(r.doc_id + 1) % 3]
+        assert sorted((x.digest, x.version) for x in r.next_digests) == sorted([(k, 0) for k in a - b] + [(k, 1) for k in b - a])
+        assert r.near_next == 1 - len(a ^ b) / (len(a) + len(b))
+
+
 def test_paragraphs_do_not_depend_on_the_length(spark):
     from pyspark.sql import functions as F
 
