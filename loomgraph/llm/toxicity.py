@@ -29,7 +29,7 @@ MIN_TOXIC, MIN_PRECISION = 3, 0.4
 #: Nats by which a feature's log likelihood ratio has to pass what chance over all tried features allows.
 MARGIN = 5.0
 THRESHOLD = 0.7
-#: Longest span that is decoded as one word, and spans that a worker keeps.
+#: Longest span that a worker keeps with its decoding, and how many it keeps.
 MAX_SPAN, CACHE_SPANS = 48, 100_000
 
 #: Signs and the letters that they stand for.
@@ -51,6 +51,7 @@ SIGNS = re.escape("".join(k for k in LOOKALIKES if k.isascii()))
 DISGUISED = re.compile(rf"[a-z]+[{SIGNS}]+[a-z{SIGNS}]*[a-z]|(?<![a-z{SIGNS}])[{SIGNS}]+[a-z][a-z{SIGNS}]*[a-z]|(?<![a-z])[a-z{SIGNS}]*[a-z][a-z{SIGNS}]*[0-9@$+](?![a-z0-9{SIGNS}])|[a-z]*([a-z])\1\1[a-z]*")
 SINGLE_SPACED = re.compile(rf"(?<![a-z0-9])(?:[a-z{SIGNS}][{re.escape(SEPARATORS)}]{{1,3}}){{3,}}[a-z{SIGNS}](?![a-z0-9])")
 HAS_SIGN = re.compile(rf"[a-z][{SIGNS}]|[{SIGNS}][a-z]")
+REPEATED = re.compile(r"(.)\1{2,}", re.DOTALL)
 NOT_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -95,6 +96,8 @@ class Decoder:
         self.cache: dict[str, str] = {}
 
     def __call__(self, span: str) -> str:
+        if len(span) > MAX_SPAN:
+            return self._decoded(span)
         if span not in self.cache:
             if len(self.cache) >= CACHE_SPANS:
                 self.cache.clear()
@@ -102,7 +105,7 @@ class Decoder:
         return self.cache[span]
 
     def _decoded(self, span: str) -> str:
-        """States are the last three codes written; each keeps its best score and word."""
+        """States are the last three codes written; each keeps its best score and words. A separator may end a word."""
         states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
         for k, sign in enumerate(span):
             options = [(c, self.SUBSTITUTE) for c in LOOKALIKES.get(sign, "")]
@@ -118,6 +121,9 @@ class Decoder:
             for (a, b, c), (score, word) in states.items():
                 if (sign in SEPARATORS and inner) or not options:
                     reached((a, b, c), score + self.DROP, word)
+                    if sign in SEPARATORS and word and c:
+                        p = float(self.model[((a * CODES + b) * CODES + c) * CODES])
+                        reached((b, c, 0), score + self.DROP + p, word + " ")
                 for letter, cost in options:
                     if word and word[-1] == letter and k and (span[k - 1] == sign or span[k - 1] in SEPARATORS):
                         reached((a, b, c), score + self.REPEAT, word)
@@ -136,9 +142,10 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lower = data | np.uint8(32)
     triple = letter[2:] & (lower[2:] == lower[1:-1]) & (lower[1:-1] == lower[:-2])
     gap = SEPARATOR[data]
-    short = ~gap
-    spaced = short[:-4] & gap[1:-3] & short[2:-2] & gap[3:-1] & short[4:]
-    at = np.concatenate([np.flatnonzero(triple), np.flatnonzero(spaced)])
+    # Single signs between separators, the next one after one to three separators; an asterisk may be either.
+    single = np.flatnonzero((~gap | (data == ord("*")))[1:-1] & gap[:-2] & gap[2:]) + 1
+    near = single[:-1][(np.diff(single) >= 2) & (np.diff(single) <= 4)]
+    at = np.concatenate([np.flatnonzero(triple), near])
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, at, "right") - 1] = True
     return out
@@ -152,11 +159,11 @@ def restored(text: str, flagged: bool, decode: Decoder) -> set[str]:
         if flagged:
             spans |= {m.group() for m in SINGLE_SPACED.finditer(text)}
         for span in spans:
-            if 3 <= len(span) <= MAX_SPAN:
-                word = decode(span)
-                found.add(word)
+            span = REPEATED.sub(r"\1\1", span)
+            if len(span) >= 3:
+                found.update(decode(span).split())
                 if span[1] in SEPARATORS:
-                    found.update((decode(span[2:]), decode(span[:-2])))  # a neighbouring one-letter word may stand before or after
+                    found.update((decode(span[2:]) + " " + decode(span[:-2])).split())  # a neighbouring one-letter word may stand before or after
     return found
 
 

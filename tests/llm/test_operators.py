@@ -353,6 +353,15 @@ def test_toxicity(spark, none):
     assert kept.columns == ["doc_id", "text", "score"] and 1001 not in {r.doc_id for r in kept.collect()}
 
 
+def test_long_and_spaced_disguises_are_restored(spark):
+    docs, labels = toxic_table(spark)
+    plain = spark.createDataFrame([(2000 + k, "you are an idiot and you are a moron") for k in range(300)], "doc_id long, text string")
+    odd = ["you " + 50 * "i" + "diot there", "i - d - i - o - t", "so y o u a r e a n i d i o t there"]
+    rows = spark.createDataFrame([(1100 + k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs.union(plain).union(rows), labels).collect()}
+    assert [found[1100 + k] for k in range(3)] == [1, 1, 1]
+
+
 def test_words_are_hashed_as_bytes():
     texts = ["a b c d e f", "A  B c\td e F", " x y ", "", None, "é ß z q w e"]
     assert [len(s) for s in jaccard_join.shingle_sets(pa.array(texts))] == [len(shingles(t)) for t in texts]
