@@ -6,8 +6,9 @@ shingles only that a Bloom filter of twice-seen ones holds); the pairs they prop
 then by the prefixes under the other orders, and what all filters leave is verified on the whole sets. Orders put
 frequent shingles last, by a count sketch of fixed size, so that common passages propose few pairs.
 
-Only components are asked for, so equal sets are one class, a group first links to its hub in each bucket, and other
-pairs are looked at only where their members are not connected yet. No group is expanded into all its pairs.
+Only components are asked for, so equal sets are one class, and a bucket (of one shingle) is not expanded into its pairs:
+each member is compared with a few hubs of its bucket, then with a few hubs of each other component in it, and at last
+members of different components with each other. The work of the last step is what no component can settle.
 """
 
 from __future__ import annotations
@@ -25,22 +26,25 @@ from pyspark.sql import functions as F
 from loomgraph.llm.arrow_tools import BASE, mixed, slices, text_bytes
 from loomgraph.llm.seen_filters import ROWS, TwiceSeen, log2_bits, sketch_rows
 from loomgraph.operators.components import component_labels
-from loomgraph.session import materialize
+from loomgraph.session import materialize, remove, written
 
 WORDS = 5
 #: The likeness as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Counters of the frequency sketch, whatever the corpus, and those of one of its segments.
 COUNTERS, SEGMENT = 1 << 20, 1 << 16
-#: Bytes of text for one shingle, for the filter's size only.
-BYTES_PER_SHINGLE = 6
+#: Bytes of text that are hashed at a time; longer texts go window by window.
+WINDOW = 1 << 20
+#: Hubs of a bucket: of those members whose ids hash to a slot, the smallest id.
+HUBS = 4
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 INVERSE = pow(BASE, -1, 2**64)
-PLACE = [np.uint64((0xD1342543DE82EF95 * (2 * k + 1) + 0x9E3779B97F4A7C15 * k) % 2**64 | 1) for k in range(WORDS)]
+#: Odd multipliers for a word's place in its shingle, without a pattern that permuted words could cancel.
+PLACE = [np.uint64(x) for x in (mixed(np.arange(1, WORDS + 1, dtype=np.uint64), 97) | np.uint64(1)).tolist()]
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -54,20 +58,56 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its shingles; fewer words than a shingle has are one as a whole."""
-    data, offsets = text_bytes(column)
-    data = LOWER[data]
+def _runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in lower-cased texts that lie between the offsets, and a polynomial of each word's bytes."""
     blank = np.concatenate([SPACE[data], [True]])
     begins = ~blank[:-1]
-    begins[1:] &= blank[:-2] | np.isin(np.arange(1, len(data)), offsets, assume_unique=True) if len(data) > 1 else True
+    if len(data) > 1:
+        inner = blank[:-2].copy()
+        cuts = offsets[(offsets > 0) & (offsets < len(data))]
+        inner[cuts - 1] = True
+        begins[1:] &= inner
     start = np.flatnonzero(begins)
     # A word ends at white space or at its text's end.
     stops = np.sort(np.concatenate([np.flatnonzero(blank), offsets[1:]]))
     end = stops[np.searchsorted(stops, start, "right")] if len(start) else start
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)))])
-    hashes = mixed((sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
-    first = np.searchsorted(start, offsets)
+    return start, end, (sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start]
+
+
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """The hashes of a long text's words. A word that a window cuts is carried on: P(uv) = P(u) + BASE**|u| * P(v)."""
+    found, value, length = [], 0, 0
+    for at in range(0, len(data), WINDOW):
+        piece = LOWER[data[at : at + WINDOW]]
+        start, end, sums = _runs(piece, np.array([0, len(piece)]))
+        lengths = (end - start).astype(np.uint64)
+        if length:
+            if len(start) and start[0] == 0:
+                sums[0] = np.uint64((value + pow(BASE, length, 2**64) * int(sums[0])) % 2**64)
+                lengths[0] += np.uint64(length)
+            else:
+                sums, lengths = np.append(np.uint64(value), sums), np.append(np.uint64(length), lengths)
+            value = length = 0
+        if len(end) and end[-1] == len(piece):
+            value, length = int(sums[-1]), int(lengths[-1])
+            sums, lengths = sums[:-1], lengths[:-1]
+        found.append(mixed(sums + lengths))
+    if length:
+        found.append(mixed(np.array([(value + length) % 2**64], np.uint64)))
+    return np.concatenate(found)
+
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; fewer words than a shingle has are one as a whole."""
+    data, offsets = text_bytes(column)
+    if len(column) == 1 and len(data) > WINDOW:
+        hashes = _long_words(data)
+        first = np.array([0, len(hashes)])
+    else:
+        start, end, sums = _runs(LOWER[data], offsets)
+        hashes = mixed(sums + (end - start).astype(np.uint64))
+        first = np.searchsorted(start, offsets)
     n = len(hashes)
     whole = np.zeros(max(0, n - words + 1), np.uint64)
     for k in range(words):
@@ -98,11 +138,11 @@ class Orders:
         level = self.levels.value[hashes & np.uint64(COUNTERS - 1)].astype(np.uint64)
         return level << np.uint64(58) | mixed(hashes, order) >> np.uint64(6)
 
-    def prefix(self, hashes: np.ndarray, order: int) -> np.ndarray:
-        """The prefix under an order, in that order."""
+    def prefix(self, hashes: np.ndarray, order: int, keys: np.ndarray | None = None) -> np.ndarray:
+        """The prefix under an order, in that order; keys: those of the hashes, where they are known."""
         if not len(hashes):
             return hashes
-        keys, p = self.keys(hashes, order), prefix_length(len(hashes))
+        keys, p = self.keys(hashes, order) if keys is None else keys, prefix_length(len(hashes))
         at = np.argpartition(keys, p - 1)[:p]
         return hashes[at[np.argsort(keys[at])]]
 
@@ -114,7 +154,7 @@ _CLASSES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("dige
 def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, with the digest of its set, and at the end the task's counters in segments."""
     counters = np.zeros(COUNTERS, np.int64)
-    for part in slices(batches):
+    for part in slices(batches, limit=WINDOW):
         ids, sizes, digests, held = part.column("doc_id").to_pylist(), [], [], []
         for doc_id, own in zip(ids, shingle_sets(part.column("text")), strict=True):
             sizes.append(len(own))
@@ -144,48 +184,98 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / usual)), 0, 31).astype(np.uint8)
 
 
-def _prefix_sketch(orders: Orders, log2: int) -> Callable:
+PREFIXES = "part string, rep long, n int, first binary, second binary, third binary"
+FIRST, OTHERS = "rep long, n int, first binary", "rep long, n int, second binary, third binary"
+_PREFIXES = pa.schema([("part", pa.string()), ("rep", pa.int64()), ("n", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("third", pa.binary())])
+
+
+def chosen_rows(part: pa.RecordBatch, chosen: Callable, column: str = "doc_id") -> pa.RecordBatch:
+    """The rows whose id the filter holds."""
+    ids = part.column(column)
+    keep = chosen(mixed(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64))) & np.asarray(ids.is_valid())
+    return part.filter(pa.array(keep))
+
+
+def _prefixes(orders: Orders, chosen: Callable) -> Callable:
+    """Two rows for each class's document: its first prefix in order, and 16 bits of each shingle of the other two."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sketch_rows((orders.prefix(own, 1) for part in slices(batches) for own in shingle_sets(part.column(0))), log2)
+        for whole in slices(batches, limit=WINDOW):
+            part = chosen_rows(whole, chosen)
+            sets = list(shingle_sets(part.column("text"))) if part.num_rows else []
+            ids = [i for i, s in zip(part.column("doc_id").to_pylist(), sets, strict=True) if len(s)]
+            sets = [s for s in sets if len(s)]
+            if not sets:
+                continue
+            flat = np.concatenate(sets)
+            keys = [orders.keys(flat, k) for k in (1, 2, 3)]
+            firsts, shorts, a = [], ([], []), 0
+            for s in sets:
+                b = a + len(s)
+                firsts.append(orders.prefix(s, 1, keys[0][a:b]).tobytes())
+                for k, short in enumerate(shorts, 1):
+                    short.append(np.sort((orders.prefix(s, k + 1, keys[k][a:b]) >> np.uint64(48)).astype(np.uint16)).tobytes())
+                a = b
+            sizes, none = [len(s) for s in sets], [None] * len(sets)
+            for columns in ((["first"] * len(sets), ids, sizes, firsts, none, none), (["others"] * len(sets), ids, sizes, none, *shorts)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _PREFIXES, strict=True)], schema=_PREFIXES)
 
     return run
 
 
-def _prefix_rows(orders: Orders, seen: Callable) -> Callable:
-    schema = pa.schema([("token", pa.int64()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes in a column of packed arrays, end to end, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint64, (at[-1] - at[0]) // 8, at[0]), np.diff(at) // 8
 
+
+def _prefix_sketch(log2: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            ids, sets = part.column("doc_id").to_pylist(), list(shingle_sets(part.column("text")))
-            prefixes = [orders.prefix(s, 1) for s in sets]
-            lengths = np.array([len(p) for p in prefixes])
-            flat = np.concatenate(prefixes)
-            at = np.flatnonzero(seen(flat))
-            doc = np.repeat(np.arange(len(sets)), lengths)[at]
-            keep = np.array([i is not None for i in ids])[doc]
-            at, doc = at[keep], doc[keep]
-            pos = at - (np.cumsum(lengths) - lengths)[doc] + 1
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            sizes = np.array([len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array([digests[d] for d in doc.tolist()], pa.binary()), pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array(sizes[doc], pa.int32()), pa.array(pos, pa.int32())], schema=schema)
+        yield from sketch_rows((_hashes(batch.column(0))[0] for batch in batches if batch.num_rows), log2)
 
     return run
 
 
-SETS = "rep long, n int, second binary, third binary, hashes binary"
+ROW = "token long, rep long, n int, pos int, band int"
+_ROW = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("band", pa.int32())])
+
 
+def _prefix_rows(seen: Callable) -> Callable:
+    """A row for each shingle of a first prefix that some other prefix may hold."""
 
-def _sets(orders: Orders, wanted: Callable) -> Callable:
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("second", pa.binary()), ("third", pa.binary()), ("hashes", pa.binary())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                flat, lengths = _hashes(batch.column("first"))
+                at = np.flatnonzero(seen(flat))
+                doc = np.repeat(np.arange(batch.num_rows), lengths)[at]
+                pos = at - (np.cumsum(lengths) - lengths)[doc] + 1
+                rep, n = (batch.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("rep", "n"))
+                band = np.floor(np.log(np.maximum(n, 1)) / np.log(DENOMINATOR / NUMERATOR))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((flat[at].view(np.int64), rep, n, pos.astype(np.int32), band.astype(np.int32)), _ROW, strict=True)], schema=_ROW)
+
+    return run
 
+
+def _held(chosen: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            ids = part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            part = part.filter(pa.array(wanted(mixed(ids.astype(np.uint64))) & np.asarray(part.column("doc_id").is_valid())))
+        for batch in batches:
+            yield chosen_rows(batch, chosen, "rep")
+
+    return run
+
+
+def _sets(chosen: Callable) -> Callable:
+    schema = pa.schema([("rep", pa.int64()), ("hashes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in slices(batches, limit=WINDOW):
+            part = chosen_rows(whole, chosen)
             if part.num_rows:
-                sets = list(shingle_sets(part.column("text")))
-                short = [[np.sort((orders.prefix(s, k) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for s in sets] for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.binary()) for x in (*short, [s.tobytes() for s in sets]))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())], schema=schema)
 
     return run
 
@@ -200,7 +290,7 @@ def _member_sketch(log2: int) -> Callable:
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Elements that two sorted sets share."""
+    """Elements of b that a holds; both are sorted."""
     if not len(a) or not len(b):
         return 0
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
@@ -211,7 +301,8 @@ def _share_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Pairs whose prefixes leave the likeness possible under both other orders.
 
     What two sets share lies in both prefixes, or beyond the prefix that ends first in that order. So they share at most
-    what their prefixes share and the rest of one of them.
+    what their prefixes share and the rest of one of them. Of each shingle 16 bits are compared, so the count of what is
+    shared may be too high, never too low.
     """
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
@@ -219,7 +310,7 @@ def _share_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for name in ("second", "third"):
             for k, (x, y) in enumerate(zip(batch.column(f"{name}_a").to_pylist(), batch.column(f"{name}_b").to_pylist(), strict=True)):
                 if keep[k]:
-                    shared = _common(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))
+                    shared = _common(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))
                     rest = max(n[k] - prefix_length(n[k]), m[k] - prefix_length(m[k]))
                     keep[k] = shared > 0 and (NUMERATOR + DENOMINATOR) * (shared + rest) >= NUMERATOR * (n[k] + m[k])
         yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -235,24 +326,31 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, orders: Orders) -> DataFrame:
-    """(rep, second, third, hashes) of the documents that a pair names, and of a few more that the filter lets through."""
-    members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    log2 = log2_bits(members.count(), 16)
-    wanted = TwiceSeen(members.mapInArrow(_member_sketch(log2), ROWS), log2)
-    return materialize(docs.mapInArrow(_sets(orders, wanted.test()), SETS), "shingle-sets")
+def ids_filter(ids: DataFrame) -> TwiceSeen:
+    """A Bloom filter of the distinct ids of one column."""
+    log2 = log2_bits(ids.count(), 16)
+    return TwiceSeen(ids.mapInArrow(_member_sketch(log2), ROWS), log2)
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share prefixes under the other orders and then are alike on their whole sets."""
+def verified(pairs: DataFrame, others: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share prefixes under the other orders and then are alike on their whole sets.
+
+    Prefixes, and then sets, are read for the documents of the pairs only. A pair takes one side's array along to the other.
+    """
 
-    def joined(rows: DataFrame, columns: list[str]) -> DataFrame:
+    def joined(rows: DataFrame, held: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            rows = rows.join(sets.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+            rows = rows.join(held.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in held.columns[1:])), side)
         return rows
 
-    left = materialize(joined(pairs, ["n", "second", "third"]).mapInArrow(_share_prefixes, "a long, b long"), "filtered-pairs")
-    return materialize(joined(left, ["hashes"]).mapInArrow(_alike, "a long, b long"), "links")
+    near = others.mapInArrow(_held(ids_filter(members(pairs)).test()), OTHERS)
+    left = materialize(joined(pairs, near).mapInArrow(_share_prefixes, "a long, b long").distinct(), "filtered-pairs")
+    sets = docs.mapInArrow(_sets(ids_filter(members(left)).test()), "rep long, hashes binary")
+    return materialize(joined(left, sets).mapInArrow(_alike, "a long, b long").distinct(), "links")
 
 
 def _possible(x: str, y: str):
@@ -263,6 +361,36 @@ def _possible(x: str, y: str):
     return (NUMERATOR * F.greatest(n, m) <= DENOMINATOR * F.least(n, m)) & (rest * total >= NUMERATOR * (n + m))
 
 
+def _met(x: DataFrame, y: DataFrame, condition) -> DataFrame:
+    """The pairs of different documents in a bucket that sizes, positions and the condition leave."""
+    rows = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & condition & _possible("x", "y"))
+    return rows.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _hubs(rows: DataFrame, *keys: str) -> DataFrame:
+    """For each bucket, range of sizes and slot (and component) the member of the smallest id; m: members that share it."""
+    slotted = rows.withColumn("slot", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).cast("int"))
+    found = slotted.groupBy("token", "band", "slot", *keys).agg(F.min(F.struct("rep", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("m"))
+    return found.select("token", "band", "slot", *keys, "hub.*", "m")
+
+
+def _between_components(rest: DataFrame, labels: DataFrame, by_hubs: bool) -> DataFrame | None:
+    """Pairs of members whose components differ: with hubs of the other components, or all that are left. None: no bucket has two."""
+    known = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    several = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    known = materialize(known.join(several, "token", "left_semi"), "open-prefix-rows")
+    if known.isEmpty():
+        return None
+    apart = F.col("x.component") != F.col("y.component")
+    if by_hubs:
+        return _met(known, _hubs(known, "component"), apart)
+    # A bucket's largest component does not meet itself: smaller ones meet it and each other.
+    sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("most")).select("token", F.col("most.component").alias("largest"))
+    minor = known.join(largest, "token").where("component <> largest").drop("largest")
+    return _met(minor, known, apart)
+
+
 def link_components(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of likeness 0.75 or more).
 
@@ -273,46 +401,47 @@ def link_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
     first = materialize(slim.mapInArrow(_classes, CLASSES), "shingle-classes")
-    levels = frequency_levels(first.where("segment IS NOT NULL").select("segment", "counts"))
+    orders = Orders(spark.sparkContext.broadcast(frequency_levels(first.where("segment IS NOT NULL").select("segment", "counts"))))
     classes = first.where("segment IS NULL").select("doc_id", "n_shingles", "digest")
-    orders = Orders(spark.sparkContext.broadcast(levels))
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log2 = log2_bits(size // BYTES_PER_SHINGLE // DENOMINATOR, 8)
-    seen = TwiceSeen(slim.select("text").mapInArrow(_prefix_sketch(orders, log2), ROWS), log2)
-    raw = slim.mapInArrow(_prefix_rows(orders, seen.test()), "token long, digest binary, doc_id long, n int, pos int")
-    rows = raw.groupBy("token", "digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("pos").alias("pos"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
-    rows = materialize(rows.withColumn("band", band).drop("digest"), "prefix-rows")
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    rows = materialize(rows.join(often, "token", "left_semi"), "shared-prefix-rows")
-    hubs = rows.groupBy("token", "band").agg(F.min(F.struct("n", "rep", "pos")).alias("h")).select("token", "band", "h.*")
-    reach = hubs.union(hubs.withColumn("band", F.col("band") + 1))
-    x, y = rows.alias("x"), reach.alias("y")
-    stars = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") != F.col("y.rep")) & _possible("x", "y"))
-    proposed = materialize(stars.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "hub-pairs")
-    links = verified(proposed, sets_of(slim, proposed, orders))
+    reps = classes.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    placed = materialize(classes.join(reps, "digest").select("doc_id", "n_shingles", "rep"), "placed-rows")
+
+    prefixes = written(slim.mapInArrow(_prefixes(orders, ids_filter(placed.where("rep IS NOT NULL").select("rep").distinct()).test()), PREFIXES), "prefixes", "part")
+    table = spark.read.schema(PREFIXES).parquet(prefixes)
+    firsts = table.where("part = 'first'").select("rep", "n", "first")
+    log2 = log2_bits((firsts.agg(F.sum(F.octet_length("first"))).first()[0] or 0) // 8, 8)
+    seen = TwiceSeen(firsts.select("first").mapInArrow(_prefix_sketch(log2), ROWS), log2)
+    rows = materialize(firsts.mapInArrow(_prefix_rows(seen.test()), ROW), "prefix-rows")
+    remove(spark, f"{prefixes}/part=first")
+    others = spark.read.schema(PREFIXES).parquet(prefixes).where("part = 'others'").select("rep", "n", "second", "third")
+
+    hubs = materialize(_hubs(rows), "hubs")
+    near = F.abs(F.col("x.band") - F.col("y.band")) <= 1
+    tried = materialize(_met(rows, hubs, near), "hub-pairs")
+    # Documents whose rows have different sets hold these together.
+    split = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
+    links = verified(tried, others, slim).union(placed.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     labels = component_labels(links, "a", "b")
 
-    known = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed_tokens = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    known = materialize(known.join(mixed_tokens, "token", "left_semi"), "open-prefix-rows")
-    near = known.withColumn("reach", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    x, y = near.alias("x"), known.alias("y")
-    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.reach") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & smaller & _possible("x", "y"))
-    others = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    others = materialize(others.join(proposed, ["a", "b"], "left_anti"), "open-pairs")
-    more = verified(others, sets_of(slim, others, orders))
-    if more.limit(1).count():
-        labels = component_labels(links.union(more), "a", "b")
-
-    reps = classes.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    named = reps.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    lowest = classes.join(named, "digest").select("doc_id", "n_shingles", "component_id")
-    return lowest.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    crowded = hubs.where("m > 1").select("token", "band", "slot", F.col("rep").alias("hub"))
+    slotted = rows.withColumn("slot", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).cast("int"))
+    rest = materialize(slotted.join(crowded, ["token", "band", "slot"]).where("rep <> hub").drop("slot", "hub"), "rest-rows")
+    for by_hubs in (True, False):
+        pairs = _between_components(rest, labels, by_hubs)
+        if pairs is None:
+            break
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "open-pairs")
+        tried, links = tried.union(pairs), links.union(verified(pairs, others, slim))
+        labels = component_labels(links, "a", "b")
+
+    named = placed.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that have the smallest id of their component, with all their columns; rows without an id stay."""
+    """The documents that have the smallest id of their component, with all their columns; rows without an id stay.
+
+    All rows of a kept id stay. Empty and null texts are linked with nothing, so they stay. An empty table gives an empty one.
+    """
     kept = link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))

@@ -69,6 +69,58 @@ def test_jaccard_join(spark, docs, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None} | {k for k in by_id if label[k] == k}
 
 
+def components(rows):
+    """Brute force: the smallest id that links lead to."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    label = {i: i for i, _ in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            if a == b or (x and y and 4 * len(x & y) >= 3 * len(x | y)):
+                p, q = find(a), find(b)
+                label[max(p, q)] = min(p, q)
+    return {i: find(i) for i, _ in sets}
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(5, a), (5, b), (3, b), (9, a), (7, None), (7, ""), (8, prose(rng, 20))]
+    found = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (5, 3), (5, 3), (7, 7), (7, 7), (8, 8), (9, 3)]
+
+
+def test_jaccard_join_of_a_large_group(spark):
+    """Some hundred versions of one text about as alike as the limit, another such group that shares a passage with it, and chains."""
+    rng = random.Random(11)
+
+    def edited(text, share):
+        return " ".join(f"w{rng.randint(0, 10**6)}" if rng.random() < share else w for w in text.split())
+
+    a, b = prose(rng, 150), prose(rng, 150)
+    b = b + " " + a[-300:]
+    texts = [edited(a, 0.025) for _ in range(120)] + [edited(b, 0.03) for _ in range(120)]
+    for _ in range(40):
+        texts.append(edited(texts[-1], 0.02))
+    rows = [(1000 - k, t) for k, t in enumerate(texts)]
+    found = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: r.component_id for r in found.collect()} == components(rows)
+
+
+def test_shingles_of_long_texts(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "bb", "Ccc", "x" * 40, "é"]) for _ in range(300)) + rng.choice(["", " ", "\n"]) for _ in range(20)] + ["y" * 500, " " * 300, "z" * 64, "z" * 64 + " " + "q" * 64]
+    whole = [next(jaccard_join.shingle_sets(pa.array([t]))) for t in texts]
+    monkeypatch.setattr(jaccard_join, "WINDOW", 64)
+    for t, own in zip(texts, whole, strict=True):
+        assert np.array_equal(next(jaccard_join.shingle_sets(pa.array([t]))), own) and len(own) == len(shingles(t))
+
+
 def test_prefixes_of_linked_sets_meet():
     class Levels:
         value = np.zeros(jaccard_join.COUNTERS, np.uint8)
