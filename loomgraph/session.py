@@ -27,20 +27,33 @@ def local_session(name: str = "loomgraph", cores: str = "*", partitions: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Local sessions get a temporary one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def written(df: DataFrame, label: str, *partition_by: str) -> str:
+    """Writes the rows as Parquet into the shared folder; the path."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows as Parquet into the shared folder and reads them back.
 
     The result has no lineage, so a lost executor costs one read of a file and never a recomputation of what led there.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table (or one partition of it) that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
