@@ -57,3 +57,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a written table (or one partition of it) that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lets Arrow batches of this session hold no more than some bytes, so that long texts do not add up in a task's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > size:
+        spark.conf.set(key, str(size))
