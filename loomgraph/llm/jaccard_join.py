@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.arrow_tools import BASE, mixed, slices, text_bytes
 from loomgraph.llm.seen_filters import ROWS, TwiceSeen, log2_bits, sketch_rows
 from loomgraph.operators.components import component_labels
-from loomgraph.session import materialize, remove, written
+from loomgraph.session import bounded_batches, materialize, remove, written
 
 WORDS = 5
 #: The likeness as a fraction.
@@ -399,6 +399,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     A row without an id links with nothing and has no component. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     slim = docs.select("doc_id", "text")
     first = materialize(slim.mapInArrow(_classes, CLASSES), "shingle-classes")
     orders = Orders(spark.sparkContext.broadcast(frequency_levels(first.where("segment IS NOT NULL").select("segment", "counts"))))
