@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from loomgraph.llm.arrow_tools import slices
 from loomgraph.llm.token_counts import NOT_PLAIN, Encoder
 
-TOKENS, SEGMENTS, LOSS_TOKENS = 4096, 256, 4096
+TOKENS, SEGMENTS, LOSS_TOKENS = 4096, 256, 3840
 #: Pieces that wait in a task, and bins that it fills side by side.
 WINDOW, OPEN_BINS = 1024, 16
 #: Words whose ids a worker keeps.
@@ -40,6 +40,10 @@ class IdEncoder:
         return self.own.pack_ids(word) if word.isalpha() else b"".join(map(self.own.pack_ids, WORDS.findall(word)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        return [ids for ids, _ in self.with_prompts(texts, None)]
+
+    def with_prompts(self, texts: list[str], mark: str | None) -> list[tuple[bytes, int]]:
+        """The ids of each text, and how many of them stand before the mark (a line end, or other white space); 0 without one."""
         cache = self.own.cache
         split = [None if NOT_PLAIN.search(t) or self.own.special.search(t) else t.lower().split() for t in texts]
         missing = set().union(*(x for x in split if x)) - cache.keys()
@@ -48,7 +52,16 @@ class IdEncoder:
             missing = set().union(*(x for x in split if x))
         cache.update((w, self._word(w)) for w in missing)
         whole = iter(self.own.encode([t for t, x in zip(texts, split, strict=True) if x is None]))
-        return [np.array(next(whole).ids, "<u4").tobytes() if x is None else b"".join(map(cache.__getitem__, x)) for x in split]
+        heads = [t[: max(0, t.find(mark))] if mark else "" for t in texts]
+        apart = iter(self.own.encode([h for h, x in zip(heads, split, strict=True) if x is None]))
+        out = []
+        for head, x in zip(heads, split, strict=True):
+            if x is None:
+                out.append((np.array(next(whole).ids, "<u4").tobytes(), len(next(apart).ids)))
+            else:
+                prompt = sum(map(len, map(cache.__getitem__, x[: len(head.split())]))) // 4 if head else 0
+                out.append((b"".join(map(cache.__getitem__, x)), prompt))
+        return out
 
 
 class Packer:
@@ -115,7 +128,7 @@ class Packer:
                         pieces[k] = (key, start + take, length - take, loss - here)
                         sizes[k] = (length - take, 1, loss - here)
                 break
-            self.done.extend(self._unpadded(chosen) if not free.any() else [chosen])
+            self.done.extend(self._unpadded(chosen) if not free.any() or room[1] else [chosen])
             if int(free.sum()) == left and not chosen:
                 raise AssertionError("a bin stayed empty")
         self.waiting = [p for p, f in zip(pieces, free.tolist(), strict=True) if f]
@@ -146,7 +159,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
 
-def _packed(path: str, end_id: int, limits: tuple[int, int, int], loss: str | None) -> Callable:
+def _packed(path: str, end_id: int, limits: tuple[int, int, int], loss: str | None, prompt_end: str | None) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = IdEncoder(path), Packer(limits)
         end = np.array([end_id], "<u4").tobytes()
@@ -175,11 +188,11 @@ def _packed(path: str, end_id: int, limits: tuple[int, int, int], loss: str | No
         for part in slices(batches):
             texts = [t or "" for t in part.column("text").to_pylist()]
             share = part.column(loss).to_pylist() if loss else [None] * len(texts)
-            for doc_id, ids, bearing in zip(part.column("doc_id").to_pylist(), encode(texts), share, strict=True):
+            for doc_id, (ids, prompt), bearing in zip(part.column("doc_id").to_pylist(), encode.with_prompts(texts, prompt_end), share, strict=True):
                 ids += end
                 n = len(ids) // 4
                 held[rows] = [doc_id, ids, n]
-                packer.add(rows, n, n if bearing is None else max(0, min(n, bearing)))
+                packer.add(rows, n, n - prompt if bearing is None else max(0, min(n, bearing)))
                 rows += 1
             yield sent()
         packer.finish()
@@ -188,13 +201,16 @@ def _packed(path: str, end_id: int, limits: tuple[int, int, int], loss: str | No
     return run
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int = LOSS_TOKENS, loss_column: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, end_id: int = 2, tokens: int = TOKENS, segments: int = SEGMENTS, loss_tokens: int = LOSS_TOKENS, loss_column: str | None = None, prompt_end: str | None = "\n"
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
-    A document is its ids and then `end_id`; its last `loss_column` tokens bear loss (no column or null: all of them).
-    No sequence has more than `tokens` tokens, `segments` pieces or `loss_tokens` loss-bearing tokens. Null and empty
-    texts are one token. Equal rows are packed each for itself. Where rows share an id, so do their pieces. An empty
-    table gives an empty one; other columns are ignored.
+    A document is its ids and then `end_id`. Its last `loss_column` tokens bear loss; without that column, or where it is
+    null, those after the first `prompt_end` (white space, by default a line end) do, so that its first line is a prompt;
+    all do where the text or the call has none. No sequence has more than `tokens` tokens, `segments` pieces or
+    `loss_tokens` loss-bearing tokens. Null and empty texts are one token. Equal rows are packed each for itself. Where
+    rows share an id, so do their pieces. An empty table gives an empty one; other columns are ignored.
     """
     columns = ["doc_id", "text", *([loss_column] if loss_column else [])]
-    return docs.select(*columns).mapInArrow(_packed(path, end_id, (tokens, segments, loss_tokens), loss_column), PIECES)
+    return docs.select(*columns).mapInArrow(_packed(path, end_id, (tokens, segments, loss_tokens), loss_column, prompt_end), PIECES)
