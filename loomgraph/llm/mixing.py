@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Sources whose rates are broadcast; a table of more sources is joined without a broadcast.
 BROADCAST_SOURCES = 10_000
+#: Salts over which the documents of one source are dealt in a join that is not broadcast.
+SALTS = 32
 #: The distribution function is inverted for means up to this; a larger mean is a sum of such draws.
 MAX_MEAN = 16.0
 #: Terms of the distribution function: at the largest mean, what lies beyond has less than the 1e-14 that doubles resolve.
@@ -65,17 +67,24 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: str
     empty one; a column of docs named n_copies, copy or mix_key is replaced. The order within a partition is by mix_key.
     """
     table = rates(docs, weights, total).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int"))
-    table = table.withColumn("cdf", poisson_table(F.col("rate") / F.col("draws"))).select(F.col("source").alias("rate_source"), "draws", "cdf")
+    table = table.withColumn("cdf", poisson_table(F.col("rate") / F.col("draws"))).select("source", "draws", "cdf")
     few = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     own = docs.drop("n_copies", "copy", "mix_key")
-    matched = own.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("rate_source")), "left")
+    # The row travels as one column, so that none of its names meets one of these; many sources are joined over salts.
+    packed = own.select(F.struct(*(F.col(f"`{c}`") for c in own.columns)).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("id"))
+    if few:
+        matched = packed.join(F.broadcast(table.withColumnRenamed("source", "rated")), F.col("source").eqNullSafe(F.col("rated")))
+    else:
+        salted = table.withColumnRenamed("source", "rated").withColumn("rated_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        packed = packed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        matched = packed.join(salted, F.col("source").eqNullSafe(F.col("rated")) & (F.col("salt") == F.col("rated_salt")))
 
     def draw(k: Column) -> Column:
-        u = uniform(seed, F.col("doc_id"), k)
+        u = uniform(seed, F.col("id"), k)
         return F.size(F.filter("cdf", lambda c: c <= u))
 
     counts = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("draws") - 1), draw), F.lit(0), lambda a, b: a + b)
-    counted = matched.withColumn("n_copies", counts).where("n_copies > 0").drop("rate_source", "draws", "cdf")
+    counted = matched.select("row", "id", counts.alias("n_copies")).where("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("copy"), F.col("copy"))))
-    return keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("copy"), F.col("copy"))))
+    return keyed.select("row.*", "n_copies", "copy", "mix_key").repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
