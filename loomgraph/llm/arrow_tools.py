@@ -54,5 +54,6 @@ def strings(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.large_binary()).to_pylist()
 
 
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores after it as no column has."""
+    return next(x for k in range(len(taken) + 1) if (x := name + "_" * k) not in taken)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow_tools import slices, strings
+from loomgraph.llm.arrow_tools import free_name, slices, strings
 from loomgraph.llm.seen_filters import ROWS, TwiceSeen, log2_bits, sketch_rows
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -89,11 +89,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
     return lost.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("line_numbers"))).alias("line_numbers"))
 
 
-def _kept(digest_only: bool, schema: pa.Schema) -> Callable:
+def _kept(digest_only: bool, schema: pa.Schema, found: str = "line_numbers") -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             counts, dropped, digests, texts = [], [], [], []
-            for text, numbers in zip(strings(part.column("text")), part.column("line_numbers").to_pylist(), strict=True):
+            for text, numbers in zip(strings(part.column("text")), part.column(found).to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 gone = set(numbers or ())
                 kept = b"\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text
@@ -113,10 +113,6 @@ def _kept(digest_only: bool, schema: pa.Schema) -> Callable:
     return run
 
 
-def _with_lines(docs: DataFrame, min_chars: int, min_documents: int) -> DataFrame:
-    return docs.join(dropped_lines(docs, min_chars, min_documents), "doc_id", "left")
-
-
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256 (of the text that stays).
 
@@ -124,14 +120,18 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
     slim = docs.select("doc_id", "text")
-    return _with_lines(slim, min_chars, min_documents).mapInArrow(_kept(True, schema), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return slim.join(dropped_lines(slim, min_chars, min_documents), "doc_id", "left").mapInArrow(_kept(True, schema), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """The documents with all their columns, `text` without the dropped lines; a null text stays null."""
-    found = _with_lines(docs.withColumnsRenamed({"line_numbers": "line_numbers_"}), min_chars, min_documents)
-    names = [c if c != "line_numbers" else "line_numbers_" for c in docs.columns]
-    schema = found.select(*names).schema
+    """The documents with all their columns, `text` without the dropped lines; a null text stays null.
+
+    Which lines go does not depend on the order of rows: a key's keeper is the largest doc_id. Repeated rows lose the
+    same lines each, rows without an id none. An empty table gives an empty one. No name of a column is reserved.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return found.mapInArrow(_kept(False, to_arrow_schema(schema)), schema).withColumnsRenamed({"line_numbers_": "line_numbers"})
+    spare = free_name("line_numbers", docs.columns)
+    found = docs.join(dropped_lines(docs, min_chars, min_documents).withColumnRenamed("line_numbers", spare), "doc_id", "left").select(*(f"`{c}`" for c in docs.columns), F.col(spare))
+    kept = _kept(False, to_arrow_schema(docs.schema), spare)
+    return found.mapInArrow(kept, docs.schema)

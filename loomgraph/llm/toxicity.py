@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.arrow_tools import mixed, slices, strings, text_bytes
-from loomgraph.session import materialize
+from loomgraph.llm.arrow_tools import free_name, mixed, slices, strings, text_bytes
+from loomgraph.session import bounded_batches, materialize
 
 #: Labelled rows that the classifier learns from, at most (those of the smallest hashes).
 SAMPLE_ROWS = 24_000
@@ -261,27 +261,27 @@ SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.7); keep: all columns of docs first.
+    """Per row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.7); keep: the columns of docs and predicted.
 
     A text's score is the chance that any of its features tells the truth: 1 - (1 - base) * product of (1 - certainty)
     over its three surest words, each by its surest feature. Null and empty texts get the base score. Rows without an id are not held out.
-    Without labelled toxic texts every score is 0. An empty table gives an empty one; columns of docs named like a
-    result are replaced.
+    Without labelled toxic texts every score is 0. Equal texts have equal scores and repeated rows each get a row. An
+    empty table gives an empty one. With keep, predicted takes another name where docs has that one.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast(source_model(docs))
     weights, base = lexicon(docs, labels, model)
     terms = spark.sparkContext.broadcast(weights)
-    names = [c for c in docs.columns if not keep or c not in ("held_out", "score", "predicted")] if keep else ["doc_id", "text"]
-    own = docs.select(*names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructType
 
     held = (F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0)) == 1).alias("held_out")
-    ready = own.select(*names, held)
-    kept = ready.schema if keep else StructType().add("doc_id", LongType()).add("held_out", BooleanType())
-    schema = StructType([*kept.fields]).add("score", DoubleType()).add("predicted", IntegerType())
+    ready = docs if keep else docs.select("doc_id", "text", held)
+    mark = free_name("predicted", docs.columns) if keep else "predicted"
+    schema = StructType([*docs.schema.fields]) if keep else StructType().add("doc_id", LongType()).add("held_out", BooleanType()).add("score", DoubleType())
+    schema = schema.add(mark, IntegerType())
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,14 +301,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: bool = False) -> D
                 for h in sorted(best.values())[-3:]:
                     rest *= 1 - h
                 scores.append(1 - rest)
-            columns = {f.name: part.column(f.name) for f in arrow if f.name not in ("score", "predicted")}
-            yield pa.RecordBatch.from_pydict(columns | {"score": scores, "predicted": [int(s >= THRESHOLD) for s in scores]}, schema=arrow)
+            made = ({} if keep else {"score": pa.array(scores, pa.float64())}) | {mark: pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())}
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else part.column(f.name) for f in arrow], schema=arrow)
 
     return ready.mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with all their columns."""
-    renamed = docs.withColumnsRenamed({c: f"{c}_own" for c in ("held_out", "score", "predicted") if c in docs.columns})
-    found = toxicity_scores(renamed, labels, keep=True).where("predicted = 0").drop("held_out", "score", "predicted")
-    return found.withColumnsRenamed({f"{c}_own": c for c in ("held_out", "score", "predicted")}).select(*docs.columns)
+    """The documents that are not predicted toxic, with all their columns.
+
+    Null and empty texts stay, and so do rows without an id that are not toxic; repeated rows stay or go together. An
+    empty table gives an empty one. No name of a column is reserved.
+    """
+    mark = free_name("predicted", docs.columns)
+    return toxicity_scores(docs, labels, keep=True).where(F.col(mark) == 0).select(*(f"`{c}`" for c in docs.columns))
