@@ -267,6 +267,76 @@ def test_mixing(spark, docs, none):
     assert {r.source for r in mixing.mixed(many, {"rare": 1.0}).select("source").distinct().collect()} == {"rare"}
 
 
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """The same rows with columns named like what operators use inside or return."""
+    names = ["cdf", "draws", "rate_source", "source_", "rated", "salt", "row", "id", "line_numbers", "line_numbers_", "score_own", "held_out", "predicted", "predicted_", "token", "rep", "digest", "component_id", "n_shingles", "sequence_id", "length", "offset"]
+    return docs.selectExpr("*", *(f"doc_id + {k} AS {x}" for k, x in enumerate(names)))
+
+
+def test_clashing_names(spark, docs, clashing, none):
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(14)], "doc_id long, toxic int")
+    path = tokenizer_file("word_bpe_49k.json")
+    sent = sorted(map(str, clashing.collect()))
+    mixing_rows = mixing.mixed(clashing)
+    assert mixing_rows.columns == [*clashing.columns, "n_copies", "copy", "mix_key"]
+    assert set(map(str, mixing_rows.select(*clashing.columns).collect())) <= set(sent)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.copy) for r in mixing_rows.collect()) == sorted((r.doc_id is None, r.doc_id or 0, r.copy) for r in mixing.mixed(docs).collect())
+    lines = line_dedup.without_repeated_lines(clashing)
+    assert lines.columns == clashing.columns and sorted(map(str, lines.select(*docs.columns).collect())) == sorted(map(str, line_dedup.without_repeated_lines(docs).collect()))
+    clean = toxicity.without_toxic(clashing, labels)
+    assert clean.columns == clashing.columns and set(map(str, clean.collect())) <= set(sent)
+    kept = jaccard_join.one_of_each(clashing)
+    assert kept.columns == clashing.columns and set(map(str, kept.collect())) <= set(sent)
+    assert packing.pack(clashing, path).columns == packing.pack(docs, path).columns
+    for empty in (line_dedup.without_repeated_lines(none), toxicity.without_toxic(none, labels), jaccard_join.one_of_each(none)):
+        assert empty.columns == none.columns and not empty.count()
+
+
+def test_mixing_over_salts(monkeypatch, docs):
+    few = sorted((str(r.doc_id), r.copy) for r in mixing.mixed(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted((str(r.doc_id), r.copy) for r in mixing.mixed(docs).collect()) == few
+
+
+def test_loss_limit_binds():
+    """Prompts bear no loss: with that limit, bins hold other pieces than by tokens alone, and none is over it."""
+    rng = random.Random(8)
+    sizes = {k: (n := rng.randint(5, 90), rng.choice([0, n // 3, n])) for k in range(500)}
+    bins = {}
+    for name, limits in (("loss", (100, 8, 60)), ("tokens", (100, 8, 100))):
+        packer = packing.Packer(limits, window=64)
+        for k, (n, loss) in sizes.items():
+            packer.add(k, n, loss)
+        packer.finish()
+        bins[name] = packer.done
+        for own in packer.done:
+            total = sum(p[2] for p in own)
+            assert len(own) <= 8 and sum(p[3] for p in own) <= limits[2] and (total == 100 or len(own) == 8 or total & (total - 1) == 0)
+        got = Counter()
+        for own in packer.done:
+            for p in own:
+                got[p[0]] += p[2]
+        assert got == {k: n for k, (n, _) in sizes.items()}
+    assert any(sum(p[3] for p in own) > 60 for own in bins["tokens"])
+
+
+def test_prompts_bear_no_loss(docs):
+    path = tokenizer_file("word_bpe_49k.json")
+    encode = packing.IdEncoder(path)
+    texts = ["first line\nand the rest of it", "only one line", "", "\nno prompt", "Ünïcode “quoted”\nrest — here"]
+    for t, (ids, prompt) in zip(texts, encode.with_prompts(texts, "\n"), strict=True):
+        assert ids == encode([t])[0] and prompt * 4 == len(encode([t.split("\n")[0]])[0] if "\n" in t else b"")
+    pieces = packing.pack(docs, path).collect()
+    per, loss = defaultdict(int), defaultdict(int)
+    for p in pieces:
+        per[p.sequence_id] += p.loss_tokens
+        loss[p.doc_id] += p.loss_tokens
+    assert max(per.values()) <= packing.LOSS_TOKENS
+    text = next(t for k, t, *_ in corpus() if k == 8)
+    assert loss[8] == len(encode([text.split("\n", 1)[1]])[0]) // 4 + 1
+
+
 def test_mixing_is_native(docs):
     plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -366,6 +436,15 @@ def test_digests_are_recovered_whatever_differs(spark):
         assert r.near_next == 1 - len(a ^ b) / (len(a) + len(b))
 
 
+def test_an_inserted_character_changes_one_paragraph(spark):
+    rng = random.Random(9)
+    texts = [". ".join(prose(rng, 9) for _ in range(30)), prose(rng, 400), "\n".join(prose(rng, 12) for _ in range(40))]
+    pairs = [(text, text[:at] + "Z" + text[at:]) for text in texts for at in (0, len(text) // 2)]
+    rows = [(2 * k + j, pair[j]) for k, pair in enumerate(pairs) for j in (0, 1)]
+    found = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 0").collect()
+    assert len(found) == len(pairs) and all(r.n_chars > 2000 and r.near_next >= 0.9 for r in found)
+
+
 def test_paragraphs_do_not_depend_on_the_length(spark):
     from pyspark.sql import functions as F
 
