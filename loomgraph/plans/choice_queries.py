@@ -44,9 +44,9 @@ def immediate_dominators(spark, sf_dir):
     return choices.immediate_dominators(sparse(spark, sf_dir), 0)
 
 
-@query(f"WITH RECURSIVE {sql.ACYCLIC}, p(id, route) AS (SELECT 7::BIGINT, [7::BIGINT] UNION ALL SELECT e.dst, list_append(route, e.dst) FROM p JOIN e ON p.id = e.src) SELECT array_to_string(route, '-') AS path FROM p WHERE id = 22 ORDER BY len(route), route LIMIT 10")
+@query(f"WITH RECURSIVE {sql.ACYCLIC}, p(id, route) AS (SELECT 0::BIGINT, [0::BIGINT] UNION ALL SELECT e.dst, list_append(route, e.dst) FROM p JOIN e ON p.id = e.src) SELECT array_to_string(route, '-') AS path FROM p WHERE id = 125 ORDER BY len(route), route LIMIT 10")
 def simple_paths(spark, sf_dir):
-    return choices.simple_paths(acyclic(spark, sf_dir), 7, 22, 10).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+    return choices.simple_paths(acyclic(spark, sf_dir), 0, 125, 10).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
 
 
 @query(f"WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, d AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) - (SELECT count(*) FROM e WHERE dst = id) AS k FROM n), c(id, other) AS (SELECT src, src FROM u UNION SELECT c.id, u.dst FROM c JOIN u ON c.other = u.src) SELECT (SELECT count(DISTINCT m) = 1 FROM (SELECT min(other) AS m FROM c GROUP BY id)) AND bool_and(abs(k) <= 1) AND count(*) FILTER (WHERE k = 1) <= 1 AND count(*) FILTER (WHERE k = -1) <= 1 AS has_trail FROM d")

@@ -13,15 +13,15 @@ from loomgraph.sources import tables
 
 
 def sparse(spark: SparkSession, sf_dir: str):
-    return tables.thinned_trade(spark, sf_dir, tables.SPARSE)
+    return tables.strongest(spark, sf_dir, 3)
 
 
 def split(spark: SparkSession, sf_dir: str):
-    return tables.thinned_trade(spark, sf_dir, tables.SPLIT)
+    return tables.strongest(spark, sf_dir, 1)
 
 
 def acyclic(spark: SparkSession, sf_dir: str):
-    return tables.thinned_trade(spark, sf_dir, tables.ACYCLIC)
+    return tables.oriented(tables.strongest(spark, sf_dir, 2))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -47,12 +47,12 @@ def weighted_degree_undirected(spark, sf_dir):
     return rounded(centrality.weighted_degree(tables.supply(spark, sf_dir), 0.5, False), "score")
 
 
-@query(f"WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, h(source, id, level) AS (SELECT id, id, 0 FROM n UNION SELECT source, dst, level + 1 FROM h JOIN u ON h.id = u.src WHERE level < 25), b AS (SELECT source, id, min(level) AS level FROM h GROUP BY 1, 2), c AS (SELECT source, count(*) AS r, sum(level) AS s FROM b WHERE level > 0 GROUP BY 1) SELECT n.id, round(coalesce(r / ((SELECT count(*) FROM n) - 1)::DOUBLE * r / s, 0), 6) AS score FROM n LEFT JOIN c ON c.source = n.id")
+@query(f"WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, h(source, id, level) AS (SELECT id, id, 0 FROM n UNION SELECT source, dst, level + 1 FROM h JOIN u ON h.id = u.src WHERE level < 60), b AS (SELECT source, id, min(level) AS level FROM h GROUP BY 1, 2), c AS (SELECT source, count(*) AS r, sum(level) AS s FROM b WHERE level > 0 GROUP BY 1) SELECT n.id, round(coalesce(r / ((SELECT count(*) FROM n) - 1)::DOUBLE * r / s, 0), 6) AS score FROM n LEFT JOIN c ON c.source = n.id")
 def closeness_centrality(spark, sf_dir):
     return rounded(centrality.closeness(sparse(spark, sf_dir)), "score")
 
 
-@query(f"""WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, h(source, id, level) AS (SELECT id, id, 0 FROM n UNION SELECT source, dst, level + 1 FROM h JOIN u ON h.id = u.src WHERE level < 25),
+@query(f"""WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, h(source, id, level) AS (SELECT id, id, 0 FROM n UNION SELECT source, dst, level + 1 FROM h JOIN u ON h.id = u.src WHERE level < 60),
 b AS (SELECT source, id, min(level) AS level FROM h GROUP BY 1, 2),
 p(source, id, level, route) AS (SELECT id, id, 0, [id] FROM n UNION ALL SELECT p.source, u.dst, p.level + 1, list_append(route, u.dst) FROM p JOIN u ON p.id = u.src JOIN b ON b.source = p.source AND b.id = u.dst AND b.level = p.level + 1),
 c AS (SELECT source, id, count(*) AS k FROM p GROUP BY 1, 2),
@@ -85,7 +85,7 @@ def pagerank_textbook_20(spark, sf_dir):
     return rounded(centrality.pagerank(sparse(spark, sf_dir), teleport="textbook"), "score")
 
 
-@query(f"WITH RECURSIVE {sql.SPARSE}, h(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, level + 1 FROM h JOIN e ON h.id = e.src WHERE level < 25) SELECT id, min(level)::INTEGER AS level FROM h GROUP BY 1")
+@query(f"WITH RECURSIVE {sql.SPARSE}, h(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, level + 1 FROM h JOIN e ON h.id = e.src WHERE level < 60) SELECT id, min(level)::INTEGER AS level FROM h GROUP BY 1")
 def breadth_first_levels(spark, sf_dir):
     graph = sparse(spark, sf_dir)
     return reach.hop_levels(graph.edges, graph.nodes.where("id = 0")).select("id", "level")
@@ -126,10 +126,10 @@ def shortest_paths(spark, sf_dir):
     return reach.distances(graph.edges, graph.nodes.where("id = 0"), graph.nodes).select("id", "dist")
 
 
-@query(f"WITH RECURSIVE {sql.trade_edges('src < dst AND weight::BIGINT % 7 = 0').replace('SELECT src, dst, weight FROM trade', 'SELECT src, dst, weight - 100 AS weight FROM trade')}, {DISTANCES.format('id = 0', 25)} SELECT id, min(dist) AS dist FROM d GROUP BY 1")
+@query(f"WITH RECURSIVE {sql.ACYCLIC.replace('max(weight) AS weight', 'max(weight) - 3 AS weight')}, {DISTANCES.format('id = 0', 25)} SELECT id, min(dist) AS dist FROM d GROUP BY 1")
 def negative_weight_paths(spark, sf_dir):
     graph = acyclic(spark, sf_dir)
-    shifted = graph.edges.withColumn("weight", F.col("weight") - 100)
+    shifted = graph.edges.withColumn("weight", F.col("weight") - 3)
     return reach.distances(shifted, graph.nodes.where("id = 0"), graph.nodes).select("id", "dist")
 
 

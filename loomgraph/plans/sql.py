@@ -7,14 +7,6 @@ TRADE = """trade AS (
 )"""
 
 
-def trade_edges(condition: str) -> str:
-    return f"{TRADE}, e AS (SELECT src, dst, weight FROM trade WHERE {condition}), n AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
-
-
-SPARSE = trade_edges("src <> dst AND weight::BIGINT % 7 = 0")
-SPLIT = trade_edges("weight::BIGINT % 23 = 0")
-ACYCLIC = trade_edges("src < dst AND weight::BIGINT % 7 = 0")
-
 SUPPLY = """e AS (
   SELECT l_partkey AS src, l_suppkey + 1000000 AS dst, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2
 ), n AS (SELECT p_partkey AS id FROM part UNION ALL SELECT s_suppkey + 1000000 FROM supplier)"""
@@ -23,3 +15,16 @@ BOTH = "u AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM
 USERS = """steps AS (
   SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events
 ), e AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM steps WHERE dst IS NOT NULL GROUP BY 1, 2)"""
+
+
+def strongest(k: int) -> str:
+    return f"""{USERS.replace("e AS", "steps_e AS")}, e AS (
+  SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS place FROM steps_e WHERE src <> dst) WHERE place <= {k}
+), n AS (SELECT DISTINCT user_id AS id FROM events)"""
+
+
+#: Each user's three heaviest links, and the heaviest alone.
+SPARSE = strongest(3)
+SPLIT = strongest(1)
+#: Two links for each user, directed from the smaller id to the larger one.
+ACYCLIC = strongest(2).replace("e AS (\n", "f AS (\n") + ", e AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max(weight) AS weight FROM f GROUP BY 1, 2)"

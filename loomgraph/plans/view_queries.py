@@ -159,14 +159,14 @@ def select_other_kind(spark, sf_dir):
     return rows.where(hit).select("id")
 
 
-VECTORS = "v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id < 100)"
+VECTORS = "v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 NEAR = "w AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id WHERE {0} <= 0.04)"
 D2 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 
 
 @query(f"WITH {VECTORS}, {NEAR.format(D2)} SELECT a, b FROM w")
 def pairs_within(spark, sf_dir):
-    return spatial.pairs_within(tables.vectors(spark, sf_dir, 100), 0.04).select("a", "b")
+    return spatial.pairs_within(tables.vectors(spark, sf_dir), 0.04).select("a", "b")
 
 
 def _cluster_sql(d: str) -> str:
@@ -175,17 +175,17 @@ def _cluster_sql(d: str) -> str:
 
 @query(_cluster_sql(D2))
 def metric_clusters_euclidean(spark, sf_dir):
-    return cluster.metric_clusters(tables.vectors(spark, sf_dir, 100), 0.04)
+    return cluster.metric_clusters(tables.vectors(spark, sf_dir), 0.04)
 
 
 @query(_cluster_sql("abs(a.x - b.x) + abs(a.y - b.y)"))
 def metric_clusters_manhattan(spark, sf_dir):
-    return cluster.metric_clusters(tables.vectors(spark, sf_dir, 100), 0.04, "manhattan")
+    return cluster.metric_clusters(tables.vectors(spark, sf_dir), 0.04, "manhattan")
 
 
 @query(_cluster_sql("greatest(abs(a.x - b.x), abs(a.y - b.y))"))
 def metric_clusters_chebyshev(spark, sf_dir):
-    return cluster.metric_clusters(tables.vectors(spark, sf_dir, 100), 0.04, "chebyshev")
+    return cluster.metric_clusters(tables.vectors(spark, sf_dir), 0.04, "chebyshev")
 
 
 ALL_VECTORS = "v AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
@@ -242,7 +242,7 @@ def layout_grid(spark, sf_dir):
     return layout.grid(tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
 
 
-@query(f"WITH RECURSIVE {sql.SPARSE}, h(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, level + 1 FROM h JOIN e ON h.id = e.src WHERE level < 25), l AS (SELECT n.id, coalesce(min(level), -1) AS level FROM n LEFT JOIN h USING (id) GROUP BY 1) SELECT id, (row_number() OVER (PARTITION BY level ORDER BY id) - 1 - (count(*) OVER (PARTITION BY level) - 1) / 2.0) * 40.0 AS x, level * 80.0 AS y FROM l")
+@query(f"WITH RECURSIVE {sql.SPARSE}, h(id, level) AS (SELECT 0::BIGINT, 0 UNION SELECT dst, level + 1 FROM h JOIN e ON h.id = e.src WHERE level < 60), l AS (SELECT n.id, coalesce(min(level), -1) AS level FROM n LEFT JOIN h USING (id) GROUP BY 1) SELECT id, (row_number() OVER (PARTITION BY level ORDER BY id) - 1 - (count(*) OVER (PARTITION BY level) - 1) / 2.0) * 40.0 AS x, level * 80.0 AS y FROM l")
 def layout_layered(spark, sf_dir):
     graph = sparse(spark, sf_dir)
     return layout.layered(graph, graph.nodes.where("id = 0"))

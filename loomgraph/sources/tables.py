@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ordinals import with_ordinal
 from loomgraph.model import Graph
 from loomgraph.session import materialize
 
@@ -34,31 +35,28 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(edges, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id")))
 
 
-def thinned_trade(spark: SparkSession, sf_dir: str, condition: str) -> Graph:
-    """The trade graph's edges that meet a condition on src, dst and weight, written once."""
-    graph = trade(spark, sf_dir)
-    return Graph(graph.nodes, materialize(graph.edges.where(condition), "trade-edges"))
+def user_steps(spark: SparkSession, sf_dir: str) -> Graph:
+    """Users; an edge to the user of the next event, in one order over all events."""
+    events = with_ordinal(table(spark, sf_dir, "events").select("ts", "event_id", "user_id"), "ts", "event_id").select("ordinal", "user_id")
+    after = events.select((F.col("ordinal") - 1).alias("ordinal"), F.col("user_id").alias("dst"))
+    edges = events.join(after, "ordinal").groupBy(F.col("user_id").alias("src"), "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return Graph.from_edges(edges)
 
 
-SPARSE = "src <> dst AND CAST(weight AS BIGINT) % 7 = 0"
-SPLIT = "CAST(weight AS BIGINT) % 23 = 0"
-ACYCLIC = "src < dst AND CAST(weight AS BIGINT) % 7 = 0"
+def strongest(spark: SparkSession, sf_dir: str, k: int) -> Graph:
+    """Each user's k heaviest links to other users who followed (of equal ones those of the smallest ids), written once."""
+    graph = user_steps(spark, sf_dir)
+    order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+    ranked = graph.edges.where("src <> dst").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+    return Graph(graph.nodes, materialize(ranked, "strongest-links"))
 
 
-def user_steps(spark: SparkSession, sf_dir: str) -> Graph:
-    """Users; an edge to the user of the next event."""
-    events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id")
-    # One order over all events: ranges of time, and the first event of the next range for the last of each.
-    following = Window.partitionBy("day").orderBy("ts", "event_id")
-    days = events.withColumn("day", F.to_date("ts"))
-    firsts = days.groupBy("day").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first_user"))
-    after = firsts.withColumn("next_first", F.lead("first_user").over(Window.partitionBy(F.lit(0)).orderBy("day"))).select("day", "next_first")
-    steps = days.withColumn("next", F.lead("user_id").over(following)).join(F.broadcast(after), "day")
-    edges = steps.select(F.col("user_id").alias("src"), F.coalesce("next", "next_first").alias("dst")).where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    return Graph.from_edges(edges)
+def oriented(graph: Graph) -> Graph:
+    """The graph without directions, then directed from the smaller id to the larger one: it has no cycle. A pair keeps its largest weight."""
+    pairs = graph.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
+    return Graph.from_edges(materialize(pairs, "oriented-links"), graph.nodes)
 
 
-def vectors(spark: SparkSession, sf_dir: str, limit_id: int | None = None) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions (id, x, y) from the first two dimensions of the embeddings."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
-    return rows if limit_id is None else rows.where(F.col("id") < limit_id)
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
