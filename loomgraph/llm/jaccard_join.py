@@ -34,7 +34,11 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Counters of the frequency sketch, whatever the corpus, and those of one of its segments.
 COUNTERS, SEGMENT = 1 << 20, 1 << 16
 #: Bytes of text that are hashed at a time; longer texts go window by window.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
+#: The arrays of the documents with most partners are broadcast: at most so many bytes in all, and so many for one document.
+SENT_BYTES, SENT_EACH = 32 << 20, 16 << 10
+#: Partners from which on a document's arrays may be broadcast.
+PARTNERS = 4
 #: Hubs of a bucket: of those members whose ids hash to a slot, the smallest id.
 HUBS = 4
 
@@ -336,21 +340,40 @@ def members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
 
-def verified(pairs: DataFrame, others: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share prefixes under the other orders and then are alike on their whole sets.
+def with_arrays(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs with the arrays of both documents. held: (rep, and arrays in the other columns).
 
-    Prefixes, and then sets, are read for the documents of the pairs only. A pair takes one side's array along to the other.
+    The documents with most partners are broadcast, as many as fit the bound, so their partners' arrays move once; in other
+    pairs one side's arrays travel with the pair.
     """
+    names = held.columns[1:]
+
+    def side(table: DataFrame, x: str) -> DataFrame:
+        return table.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names))
+
+    degrees = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
+    most = degrees.where(F.col("m") >= PARTNERS).orderBy(F.desc("m"), "rep").limit(SENT_BYTES // SENT_EACH).select("rep")
+    size = sum((F.octet_length(c) for c, kind in held.dtypes if kind == "binary"), F.lit(0))
+    # A document that has several rows (of a repeated id) goes the other way, so that the bound holds.
+    few = held.join(F.broadcast(most), "rep").withColumn("bytes", size).groupBy("rep").agg(F.count(F.lit(1)).alias("k"), F.max("bytes").alias("bytes"), *(F.first(c).alias(c) for c in names))
+    sent = materialize(few.where((F.col("k") == 1) & (F.col("bytes") <= SENT_EACH)).select("rep", *names), "sent-arrays")
+    ids = sent.select("rep")
+    flagged = pairs.join(F.broadcast(ids.withColumnRenamed("rep", "b").withColumn("sent_b", F.lit(True))), "b", "left").join(F.broadcast(ids.withColumnRenamed("rep", "a").withColumn("sent_a", F.lit(True))), "a", "left")
+    to_sent = flagged.where("sent_b OR sent_a").select(F.when(F.col("sent_b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("sent_b"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    others = flagged.where("sent_a IS NULL AND sent_b IS NULL").select("a", "b")
+    near = to_sent.join(side(held, "a"), "a").join(F.broadcast(side(sent, "b")), "b")
+    return near.unionByName(others.join(side(held, "a"), "a").join(side(held, "b"), "b"))
 
-    def joined(rows: DataFrame, held: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            rows = rows.join(held.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in held.columns[1:])), side)
-        return rows
 
+def verified(pairs: DataFrame, others: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share prefixes under the other orders and then are alike on their whole sets.
+
+    Prefixes, and then sets, are read for the documents of the pairs only.
+    """
     near = others.mapInArrow(_held(ids_filter(members(pairs)).test()), OTHERS)
-    left = materialize(joined(pairs, near).mapInArrow(_share_prefixes, "a long, b long").distinct(), "filtered-pairs")
+    left = materialize(with_arrays(pairs, near).mapInArrow(_share_prefixes, "a long, b long").distinct(), "filtered-pairs")
     sets = docs.mapInArrow(_sets(ids_filter(members(left)).test()), "rep long, hashes binary")
-    return materialize(joined(left, sets).mapInArrow(_alike, "a long, b long").distinct(), "links")
+    return materialize(with_arrays(left, sets).mapInArrow(_alike, "a long, b long").distinct(), "links")
 
 
 def _possible(x: str, y: str):
