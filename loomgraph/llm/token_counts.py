@@ -4,6 +4,7 @@ A byte-level BPE works on each pre-token alone, and a space before a non-space a
 count is the sum over its pieces that begin at such spaces (a piece: one pre-token, or a few, as a word and its comma).
 The first tier is a broadcast table of the token counts of frequent pieces; a piece that misses it is encoded by the
 library once and kept in the worker's own bounded cache. Both are only caches: counts are exact whatever they hold.
+Pieces of any characters go these ways; texts with special strings, and tokenizers of another split, go to the library whole.
 """
 
 from __future__ import annotations
@@ -21,14 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.arrow_tools import slices
+from loomgraph.session import bounded_batches
 
 #: Size of the broadcast table and of the text sample that fills it (a cache only), and of each worker's cache.
 TABLE_ROWS, SAMPLE_ROWS, SAMPLE_BYTES, CACHE_ROWS = 1 << 16, 1024, 1 << 16, 700_000
+#: Longer pieces are not kept.
+LONGEST_PIECE = 64
 
-#: Texts of other characters than these go to the library whole.
+#: Pieces of other characters than these are counted by the library, not by the split below.
 NOT_PLAIN = re.compile("[^\\t-\\r -~À-ÖØ-öø-ÿ]")
-#: Where a text has white space beyond single spaces between words and line ends after them, it goes there too.
+#: Where a text has white space beyond single spaces between words and line ends after them, it is cut by CUT.
 NOT_SINGLE = re.compile(" [ \\t-\\r]| $")
+#: A space that begins a pre-token whatever stands before it.
+CUT = re.compile(" (?=[!-~À-ÖØ-öø-ÿ])")
+#: How a tokenizer has to split its input for texts to be cut at spaces.
+BYTE_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 #: The split into pre-tokens, for texts of the characters above.
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
@@ -54,7 +62,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path) as f:
-            specials = [x["content"] for x in json.load(f)["added_tokens"]]
+            self.parts = json.load(f)
+        specials = [x["content"] for x in self.parts["added_tokens"]]
+        del self.parts["model"]
+        self.cut = not self.parts["normalizer"] and BYTE_SPLIT.items() <= (self.parts["pre_tokenizer"] or {}).items()
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = re.compile("|".join(map(re.escape, specials)) or "(?!)")
@@ -72,7 +83,9 @@ class Encoder:
         return struct.pack(f"<{len(found)}I", *(t.id for t in found))
 
     def count(self, piece: str) -> int:
-        """Tokens of a space and a word, or of any other piece of a plain text."""
+        """Tokens of a piece: a space and a word mostly."""
+        if NOT_PLAIN.search(piece):
+            return len(self.library.encode(piece, add_special_tokens=False).ids)
         if piece[1:].isalpha() and piece.isascii() and piece[0] == " ":
             return len(self.model.tokenize("\u0120" + piece[1:]))
         return sum(len(self.model.tokenize(byte_level(p))) for p in PRE_TOKENS.findall(piece))
@@ -88,31 +101,41 @@ def counter(path: str, table: dict[str, int]) -> Callable[[list[str]], list[int]
         own.cache.update(table)
 
     def counted(texts: list[str]) -> list[int]:
-        split = [None if NOT_PLAIN.search(t) or NOT_SINGLE.search(t) or own.special.search(t) else t.split(" ") for t in texts]
+        split = [pieces(own, t) for t in texts]
         missing = set().union(*(x[1:] for x in split if x)) - own.cache.keys()
+        long = {x: own.count(" " + x) for x in missing if len(x) > LONGEST_PIECE}
+        missing -= long.keys()
         if len(own.cache) + len(missing) > CACHE_ROWS:
             own.cache.clear()
             own.cache.update(table)
-            missing = set().union(*(x[1:] for x in split if x)) - own.cache.keys()
+            missing = set().union(*(x[1:] for x in split if x)) - own.cache.keys() - long.keys()
         own.cache.update((x, own.count(" " + x)) for x in missing)
-        get = own.cache.__getitem__
-        # The first word of a text has no space before it; the other pieces have one.
+        get = own.cache.__getitem__ if not long else lambda x: long[x] if x in long else own.cache[x]
+        # The first piece of a text has no space before it; the other ones have one.
         whole = iter(own.encode([t for t, x in zip(texts, split, strict=True) if x is None]))
         return [len(next(whole)) if x is None else own.count(x[0]) + sum(map(get, x[1:])) for x in split]
 
     return counted
 
 
+def pieces(own: Encoder, text: str) -> list[str] | None:
+    """The pieces of a text without the spaces that begin them, or None where the library has to take it whole."""
+    if not own.cut or own.special.search(text):
+        return None
+    return CUT.split(text) if NOT_SINGLE.search(text) or NOT_PLAIN.search(text) else text.split(" ")
+
+
 def frequent_lengths(docs: DataFrame, path: str, rows: int = TABLE_ROWS, sample: int = SAMPLE_ROWS) -> dict[str, int]:
-    """Token counts of the most frequent pieces of the first `sample` texts of at most SAMPLE_BYTES: at most `rows` entries.
+    """Token counts of the most frequent pieces of some texts of at most SAMPLE_BYTES from all over the table: at most `rows` entries.
 
-    A few partitions at the front are read for them; nothing is shuffled.
+    The texts are those of the `sample` ids with the smallest hashes; ids are chosen first, so texts are read once and none is shuffled.
     """
-    seen: Counter = Counter()
-    for r in docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").head(sample):
-        if not NOT_PLAIN.search(r.text) and not NOT_SINGLE.search(r.text):
-            seen.update(r.text.split(" ")[1:])
+    short = docs.where(F.octet_length("text") <= SAMPLE_BYTES)
+    chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     own = Encoder.of(path, "counts")
+    seen: Counter = Counter()
+    for r in short.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").limit(2 * sample).toLocalIterator():
+        seen.update(x for x in (pieces(own, r.text) or ())[1:] if len(x) <= LONGEST_PIECE)
     return {x: own.count(" " + x) for x, _ in seen.most_common(rows)}
 
 
@@ -122,6 +145,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     Null and empty texts count 0 and 0. Special strings inside a text are special tokens, as the library's default has
     it. Rows with null or equal ids each get a row; an empty table gives an empty one; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
