@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from loomgraph.llm.arrow_tools import slices
 from loomgraph.llm.token_counts import NOT_PLAIN, Encoder
+from loomgraph.session import bounded_batches
 
 TOKENS, SEGMENTS, LOSS_TOKENS = 4096, 256, 3840
 #: Pieces that wait in a task, and bins that it fills side by side.
@@ -26,7 +27,12 @@ WINDOW, OPEN_BINS = 1024, 16
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 500_000
 
-#: The lower-case tokenizer's split into words, for plain texts.
+#: White space that no word of a text holds, whatever its other characters.
+BLANK = re.compile(r"[ \t-\r]+")
+#: How a tokenizer has to normalise and split its input for texts to be cut at white space.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: That split into words, for plain texts.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
@@ -35,17 +41,29 @@ class IdEncoder:
 
     def __init__(self, path: str):
         self.own = Encoder.of(path, "ids")
+        steps = (self.own.parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.cut = (self.own.parts["normalizer"] or {}).get("normalizers") == NORMAL and steps[0].get("pattern") == {"Regex": SPLIT}
 
     def _word(self, word: str) -> bytes:
+        if NOT_PLAIN.search(word):
+            return np.array(self.own.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         return self.own.pack_ids(word) if word.isalpha() else b"".join(map(self.own.pack_ids, WORDS.findall(word)))
 
+    def _words(self, text: str) -> list[str] | None:
+        """The words between white space (lower-case where plain), or None where the library has to take the text whole."""
+        if not self.cut or self.own.special.search(text):
+            return None
+        if not NOT_PLAIN.search(text):
+            return text.lower().split()
+        return [w if NOT_PLAIN.search(w) else w.lower() for w in BLANK.split(text) if w]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [ids for ids, _ in self.with_prompts(texts, None)]
 
     def with_prompts(self, texts: list[str], mark: str | None) -> list[tuple[bytes, int]]:
         """The ids of each text, and how many of them stand before the mark (a line end, or other white space); 0 without one."""
         cache = self.own.cache
-        split = [None if NOT_PLAIN.search(t) or self.own.special.search(t) else t.lower().split() for t in texts]
+        split = [self._words(t) for t in texts]
         missing = set().union(*(x for x in split if x)) - cache.keys()
         if len(cache) + len(missing) > CACHE_WORDS:
             cache.clear()
@@ -59,7 +77,7 @@ class IdEncoder:
             if x is None:
                 out.append((np.array(next(whole).ids, "<u4").tobytes(), len(next(apart).ids)))
             else:
-                prompt = sum(map(len, map(cache.__getitem__, x[: len(head.split())]))) // 4 if head else 0
+                prompt = sum(map(len, map(cache.__getitem__, x[: len(self._words(head))]))) // 4 if head else 0
                 out.append((b"".join(map(cache.__getitem__, x)), prompt))
         return out
 
@@ -212,5 +230,6 @@ def pack(
     `loss_tokens` loss-bearing tokens. Null and empty texts are one token. Equal rows are packed each for itself. Where
     rows share an id, so do their pieces. An empty table gives an empty one; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     columns = ["doc_id", "text", *([loss_column] if loss_column else [])]
     return docs.select(*columns).mapInArrow(_packed(path, end_id, (tokens, segments, loss_tokens), loss_column, prompt_end), PIECES)

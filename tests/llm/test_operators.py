@@ -157,6 +157,26 @@ def test_token_counts_of_odd_texts():
     assert token_counts.counter(path, {})(texts) == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_texts_of_any_characters_as_the_library_gives_them():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    atoms = ["word", "Ünder", "“quoted”", "東京", "Привет", "e\u0301", "\u0301", "ſ", "İi", "ΣΑΣ", "a\u00a0b", "\u2003", "\u200b", "\u0085", "don't", "’s", "12", "٣٤", "🙂", "—", "...", "\x1c", "x" * 90]
+    gaps = [" ", " ", " ", "  ", "\n", " \n ", "\t", "", "\u3000", "\r\n"]
+    texts = ["".join(rng.choice(atoms) + rng.choice(gaps) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    path = tokenizer_file("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert token_counts.Encoder.of(path, "counts").cut
+    assert token_counts.counter(path, {})(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    path = tokenizer_file("word_bpe_49k.json")
+    library, encode = Tokenizer.from_file(path), packing.IdEncoder(path)
+    assert encode.cut
+    for t, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    other = token_counts.Encoder(path)
+    assert not other.cut  # another split: whole texts go to the library
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
