@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.model import Graph
 from loomgraph.operators.blocks import all_of, forest_layers
 from loomgraph.operators.components import component_labels
+from loomgraph.operators.order import strong_components
 from loomgraph.session import materialize
 
 
@@ -141,3 +142,43 @@ def euler_check(graph: Graph, directed: bool = True) -> bool:
         odd = d.agg(F.sum((F.col("o") - F.col("i") == 1).cast("int")), F.sum((F.col("i") - F.col("o") == 1).cast("int")), F.sum((F.abs(F.col("o") - F.col("i")) > 1).cast("int"))).first()
         return loops == 1 and odd[2] == 0 and odd[0] <= 1 and odd[1] <= 1
     return loops == 1 and d.where("(o + i) % 2 = 1").count() in (0, 2)
+
+
+def maximal_cliques(graph: Graph) -> DataFrame:
+    """(clique): every largest set of nodes that are all linked, as a sorted array; a node without links is one alone.
+
+    A row is a clique with the later nodes that extend it and the earlier ones that would have; each round adds one node
+    to each row. What has neither is maximal. Rows are as many as there are cliques of a size, which suits sparse graphs.
+    """
+    links = materialize(graph.undirected(), "clique-links")
+    near = materialize(links.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("near")), "clique-near")
+    alone = graph.nodes.select("id").join(near.select(F.col("src").alias("id")), "id", "left_anti").select(F.array("id").alias("clique"))
+    rows = near.select(F.array("src").alias("clique"), F.filter("near", lambda x: x > F.col("src")).alias("later"), F.filter("near", lambda x: x < F.col("src")).alias("earlier"))
+    out = alone
+    while not rows.isEmpty():
+        rows = materialize(rows, "cliques")
+        out = out.union(rows.where("size(later) = 0 AND size(earlier) = 0").select("clique"))
+        grown = rows.withColumn("src", F.explode("later")).join(near, "src")
+        rows = grown.select(
+            F.concat("clique", F.array("src")).alias("clique"),
+            F.filter(F.array_intersect("later", "near"), lambda x: x > F.col("src")).alias("later"),
+            F.array_union(F.array_intersect("earlier", "near"), F.filter(F.array_intersect("later", "near"), lambda x: x < F.col("src"))).alias("earlier"),
+        )
+    return out
+
+
+def feedback_arcs(graph: Graph) -> DataFrame:
+    """(edge_id, src, dst): edges without which no cycle is left; loops are among them.
+
+    Within each strong component nodes are ordered by what leaves less what enters, largest first and then by id; the
+    edges that go backwards are taken.
+    """
+    strong = materialize(strong_components(graph), "feedback-strong")
+    a, b = strong.select(F.col("id").alias("src"), F.col("component").alias("a")), strong.select(F.col("id").alias("dst"), F.col("component").alias("b"))
+    inner = materialize(graph.edges.join(a, "src").join(b, "dst").where("a = b").select("edge_id", "src", "dst"), "feedback-inner")
+    sides = inner.where("src <> dst").select(F.col("src").alias("id"), F.lit(1).alias("k")).union(inner.where("src <> dst").select("dst", F.lit(-1)))
+    lead = sides.groupBy("id").agg(F.sum("k").alias("lead"))
+    x, y = lead.select(F.col("id").alias("src"), F.col("lead").alias("x")), lead.select(F.col("id").alias("dst"), F.col("lead").alias("y"))
+    backwards = (F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("src") > F.col("dst")))
+    arcs = inner.where("src <> dst").join(x, "src").join(y, "dst").where(backwards).select("edge_id", "src", "dst")
+    return arcs.union(inner.where("src = dst"))

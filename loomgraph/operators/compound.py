@@ -14,13 +14,13 @@ class CompoundError(ValueError):
     """A mount that would close a cycle or go too deep."""
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor, depth): every container above a node, the nearest at depth 1; a join for each level there is, at most MAX_DEPTH."""
+def ancestors(nodes: DataFrame, levels: int = MAX_DEPTH) -> DataFrame:
+    """(id, ancestor, depth): every container above a node, the nearest at depth 1; a join for each level there is, at most `levels`."""
     parents = materialize(nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor")), "parents")
     up = parents.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"))
     level = parents.withColumn("depth", F.lit(1))
     out = level
-    for depth in range(2, MAX_DEPTH + 1):
+    for depth in range(2, levels + 1):
         level = materialize(level.join(up, "ancestor").select("id", F.col("above").alias("ancestor"), F.lit(depth).alias("depth")), "ancestors")
         if not level.limit(1).count():
             break

@@ -70,3 +70,45 @@ def bounds(nodes: DataFrame, positions: DataFrame) -> DataFrame:
     """(parent, x0, y0, x1, y1): the box of each container's direct members."""
     rows = nodes.where("parent IS NOT NULL").select("id", "parent").join(positions, "id")
     return rows.groupBy("parent").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
+def rings(scores: DataFrame, width: float | None = None) -> DataFrame:
+    """(id, ring): nodes (id, score) from the largest score outwards; a ring holds scores less than `width` below its first.
+
+    width: a quarter of the largest score by default. Only distinct scores are laid out one after another.
+    """
+    top = scores.agg(F.max("score")).first()[0] or 0.0
+    step = width if width is not None else max(top / 4, 1e-9)
+    distinct = [r[0] for r in scores.select("score").distinct().orderBy(F.desc("score")).toLocalIterator()]
+    first, bounds = None, []
+    for v in distinct:
+        if first is None or first - v >= step:
+            bounds.append(v)
+            first = v
+    ring = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)).cast("array<double>"), lambda b: b >= F.col("score"))) - 1
+    return scores.select("id", ring.alias("ring"))
+
+
+def concentric(scores: DataFrame, width: float | None = None, spacing: float = 10.0, size: float = 24.0) -> DataFrame:
+    """(id, x, y): each ring of rings() on a circle, evenly by id; radii grow so that nodes of a ring and rings keep apart."""
+    placed = rings(scores, width)
+    sizes = {r.ring: r.n for r in placed.groupBy("ring").agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart, radius, radii = spacing + size, 0.0, []
+    for k in range(len(sizes)):
+        n = sizes[k]
+        least = 0.0 if k == 0 and n == 1 else max(apart, apart / (2 * math.sin(math.pi / n)) if n > 1 else apart)
+        radius = least if not radii else max(radii[-1] + apart, least)
+        radii.append(radius)
+    ordinal = with_ordinal(placed, "ring", "id")
+    firsts = ordinal.groupBy("ring").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = ordinal.join(F.broadcast(firsts), "ring")
+    angle = (F.col("ordinal") - F.col("first")) * (2 * math.pi) / F.col("n")
+    r = F.element_at(F.array(*map(F.lit, radii or [0.0])), F.col("ring") + 1)
+    return rows.select("id", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
+
+
+def spiral(nodes: DataFrame, spacing: float = 20.0) -> DataFrame:
+    """(id, x, y): nodes by id on a sunflower spiral, at even density from the middle."""
+    golden = math.pi * (3 - math.sqrt(5))
+    k = F.col("ordinal")
+    return with_ordinal(nodes.select("id"), "id").select("id", (F.sqrt(k) * spacing * F.cos(k * golden)).alias("x"), (F.sqrt(k) * spacing * F.sin(k * golden)).alias("y"))

@@ -32,7 +32,7 @@ def hop_levels(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -
         frontier, seen = fresh, seen.unionByName(fresh)
         if level % 8 == 0:
             seen = materialize(seen, "hop-levels")
-    return seen
+    raise RuntimeError(f"levels did not end in {max_rounds} rounds")
 
 
 def successors_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -90,11 +90,10 @@ def kth_walk_costs(edges: DataFrame, start: int, k: int, nodes: DataFrame) -> Da
     for _ in range(100_000):
         walks = seed.union(state.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist")))
         state = materialize(walks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k), "walks")
-        now = tuple(state.agg(F.count(F.lit(1)), F.sum("dist"), F.sum(F.col("dist") * F.xxhash64("id", "place") % 1_000_003)).first())
-        if now == before:
-            break
-        before = now
-    return state.where(F.col("place") == k).select("id", "dist")
+        if before is not None and state.count() == before.count() and state.exceptAll(before).isEmpty():
+            return state.where(F.col("place") == k).select("id", "dist")
+        before = state
+    raise RuntimeError("walks did not settle")
 
 
 def path_to(edges: DataFrame, dist: DataFrame, start: int, goal: int) -> list[int]:
@@ -113,3 +112,49 @@ def path_to(edges: DataFrame, dist: DataFrame, start: int, goal: int) -> list[in
         seen.add(at)
         path.append(at)
     return path[::-1]
+
+
+def shortest_path_tree(edges: DataFrame, sources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, id, dist, parent): least weights, and the node before each on one cheapest path; a source has none.
+
+    Of several such nodes the smallest id counts. Where edges of weight 0 close a circle, nodes on it may name each other.
+    """
+    dist = materialize(distances(edges, sources, nodes), "tree-distances")
+    before = dist.select("source", F.col("id").alias("src"), F.col("dist").alias("d"))
+    steps = before.join(edges.select("src", "dst", "weight"), "src").select("source", F.col("dst").alias("id"), (F.col("d") + F.col("weight")).alias("dist"), "src")
+    parents = steps.join(dist, ["source", "id", "dist"]).where("id <> source").groupBy("source", "id").agg(F.min("src").alias("parent"))
+    return dist.join(parents, ["source", "id"], "left")
+
+
+def tree_paths(tree: DataFrame) -> DataFrame:
+    """(source, id, path): the nodes from the source to each node of a tree, by joining each round's paths with their next nodes."""
+    links = materialize(tree.where("parent IS NOT NULL").select("source", F.col("parent").alias("at"), F.col("id").alias("next")), "tree-links")
+    front = materialize(tree.where("id = source").select("source", F.col("id").alias("at"), F.array("id").alias("path")), "tree-paths")
+    out = front
+    while True:
+        front = materialize(front.join(links, ["source", "at"]).where(~F.array_contains("path", F.col("next"))).select("source", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path")), "tree-paths")
+        if front.isEmpty():
+            return out.select("source", F.col("at").alias("id"), "path")
+        out = out.union(front)
+
+
+def negative_cycle(edges: DataFrame, source: int, nodes: DataFrame) -> list[int]:
+    """The nodes of one cycle of negative weight that the source reaches, its first node not repeated; none: empty.
+
+    Walks of one edge more each round keep their least weights with the nodes they passed. A walk that comes back to a
+    node with less than it had there has gone around such a cycle; without one, walks end after as many rounds as nodes.
+    """
+    links = materialize(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "cycle-links")
+    state = materialize(nodes.where(F.col("id") == source).select("id", F.lit(0.0).alias("dist"), F.array("id").alias("path"), F.lit(True).alias("new")), "cycle-walks")
+    for _ in range(nodes.count() + 1):
+        longer = F.struct((F.col("dist") + F.col("weight")).alias("via"), "path")
+        moved = state.where("new").join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(longer).alias("m"))
+        better = F.col("m").isNotNull() & (F.col("dist").isNull() | (F.col("m.via") < F.col("dist")))
+        rows = state.drop("new").join(moved, "id", "full_outer")
+        state = materialize(rows.select("id", F.when(better, F.col("m.via")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.concat("m.path", F.array("id"))).otherwise(F.col("path")).alias("path"), better.alias("new")), "cycle-walks")
+        if state.where("new").isEmpty():
+            return []
+        back = state.where("new").where(F.array_position("path", F.col("id")) < F.size("path")).orderBy("id").first()
+        if back:
+            return back.path[back.path.index(back.id) : -1]
+    return []

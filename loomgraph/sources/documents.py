@@ -47,7 +47,7 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     repeated = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(1).alias("check"), "id")
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(ids, "id", "left_anti").select(F.lit(2).alias("check"), "id")
     orphans = nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("p")).join(ids.withColumnRenamed("id", "p"), "p", "left_anti").select(F.lit(3).alias("check"), "id")
-    deep = ancestors(nodes).where((F.col("id") == F.col("ancestor")) | (F.col("depth") >= MAX_DEPTH)).select(F.lit(4).alias("check"), "id").distinct()
+    deep = ancestors(nodes, MAX_DEPTH + 1).where((F.col("id") == F.col("ancestor")) | (F.col("depth") > MAX_DEPTH)).select(F.lit(4).alias("check"), "id").distinct()
     weights = edges.where("weight IS NULL OR isnan(weight) OR abs(weight) = double('infinity')").select(F.lit(5).alias("check"), F.col("src").alias("id")).distinct()
     return repeated.union(ends).union(orphans).union(deep).union(weights)
 
@@ -76,3 +76,34 @@ def chain_graph(spark: SparkSession, n: int, span: int = 8) -> tuple[DataFrame,
     steps = nodes.where(F.col("id") < n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     cross = nodes.where((F.col("id") % span == 0) & (F.col("id") + span < n)).select(F.col("id").alias("src"), (F.col("id") + span).alias("dst"))
     return nodes, steps.union(cross).withColumn("weight", F.lit(1.0))
+
+
+#: A statement of a DOT graph: names or quoted strings with arrows between them, and attributes in brackets.
+DOT_NAME = r'(?:"(?:[^"\\]|\\.)*"|[A-Za-z_0-9.]+)'
+DOT_ATTRIBUTE = r'([A-Za-z_]+)\s*=\s*("(?:[^"\\]|\\.)*"|[^\s,;\]]+)'
+
+
+def unquoted(name) -> F.Column:
+    """A name without its quotes and escapes."""
+    inner = F.regexp_replace(F.regexp_replace(name, r'^"|"$', ""), r"\\(.)", "$1")
+    return F.when(name.startswith('"'), inner).otherwise(name)
+
+
+def from_dot_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (name, label) and edges (src, dst, weight) of DOT text, one statement to a line.
+
+    A chain a -> b -> c is an edge for each arrow. Ends that no statement declares are nodes as well; labels default to
+    names and weights to 1. Opening and closing lines, comments and defaults for all nodes or edges are passed over.
+    """
+    text = F.trim(F.regexp_replace("line", r"//.*$|^\s*#.*$", ""))
+    skipped = text.rlike(r"^(strict\s+)?(di)?graph\b|^(node|edge)\s*\[|^[{}]?$|^[A-Za-z_]+\s*=")
+    rows = lines.select(text.alias("line")).where(~skipped)
+    head = F.regexp_replace("line", r"\[[^\[]*\]\s*;?\s*$|;\s*$", "")
+    found = F.regexp_extract_all("line", F.lit(DOT_ATTRIBUTE), F.lit(1)), F.regexp_extract_all("line", F.lit(DOT_ATTRIBUTE), F.lit(2))
+    parsed = rows.select(F.transform(F.regexp_extract_all(head, F.lit(f"({DOT_NAME})"), F.lit(1)), unquoted).alias("names"), F.map_from_arrays(found[0], F.transform(found[1], unquoted)).alias("attrs"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda k: F.struct(F.get("names", k - 1).alias("src"), F.get("names", k).alias("dst")))
+    edges = parsed.where(F.size("names") > 1).select(F.explode(pairs).alias("p"), "attrs").select("p.src", "p.dst", F.coalesce(F.try_element_at("attrs", F.lit("weight")).cast("double"), F.lit(1.0)).alias("weight"))
+    declared = parsed.where(F.size("names") == 1).select(F.get("names", 0).alias("name"), F.try_element_at("attrs", F.lit("label")).alias("label"))
+    ends = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct().withColumn("label", F.lit(None).cast("string"))
+    nodes = declared.union(ends).groupBy("name").agg(F.coalesce(F.max("label"), F.col("name")).alias("label"))
+    return nodes, edges

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from loomgraph.model import Graph
-from loomgraph.operators import centrality, cluster, compound, layout, order, reach, spatial
+from loomgraph.operators import centrality, choices, cluster, compound, edits, layout, order, reach, spatial
 from loomgraph.sources import documents
 
 
@@ -126,3 +126,56 @@ def test_registry_runs_without_the_corpus_operators(spark):
     from loomgraph.plans import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_path_tree_and_negative_cycle(spark):
+    g = graph(spark, DIAMOND)
+    tree = reach.shortest_path_tree(g.edges, g.nodes.where("id = 0"), g.nodes)
+    assert rows(tree, "id", "dist", "parent") == [(0, 0.0, None), (1, 1.0, 0), (2, 4.0, 0), (3, 3.0, 1)]
+    assert {r.id: r.path for r in reach.tree_paths(tree).collect()} == {0: [0], 1: [0, 1], 2: [0, 2], 3: [0, 1, 3]}
+    assert reach.negative_cycle(g.edges, 0, g.nodes) == []
+    bad = graph(spark, [(9, 0, 1.0), (0, 1, 1.0), (1, 2, -3.0), (2, 0, 1.0), (2, 3, 5.0)])
+    assert sorted(reach.negative_cycle(bad.edges, 9, bad.nodes)) == [0, 1, 2]
+
+
+def test_cliques_and_feedback(spark):
+    g = graph(spark, [(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0), (2, 3, 1.0), (3, 3, 1.0)], range(5))
+    assert sorted(r.clique for r in choices.maximal_cliques(g).collect()) == [[0, 1, 2], [2, 3], [4]]
+    gone = choices.feedback_arcs(g)
+    assert (3, 3) in rows(gone, "src", "dst") and not order.is_cyclic_directed(edits.remove_edges(g, gone))
+
+
+def test_edits(spark):
+    nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4)], "id long, parent long")
+    g = graph(spark, [(1, 2, 1.0), (2, 3, 1.0), (4, 5, 2.0)])
+    held = edits.remove_nodes(type(g)(nodes, g.edges), spark.createDataFrame([(2,), (3,)], "id long"))
+    assert rows(held.nodes.fillna(-1), "id", "parent") == [(1, -1), (4, 1), (5, 4)] and rows(held.edges, "src", "dst") == [(4, 5)]
+    moved = edits.reconnect(g, g.edges.where("src = 4").selectExpr("edge_id", "CAST(NULL AS LONG) AS src", "1L AS dst"))
+    assert rows(moved.edges, "src", "dst") == [(1, 2), (2, 3), (4, 1)]
+    more = edits.add_edges(g, spark.createDataFrame([(1, 3, 1.0), (1, 99, 1.0)], "src long, dst long, weight double"))
+    assert rows(edits.sync_report(g, more), "kind", "change", "n") == [("edge", "added", 1), ("edge", "kept", 3), ("edge", "removed", 0), ("node", "added", 0), ("node", "kept", 5), ("node", "removed", 0)]
+
+
+def test_dot_text(spark):
+    text = ['strict digraph "g" {', "node [shape=box];", "  rank = same", "a -> b -> c [weight=2.5, label=x];", 'd [label="say \\"hi\\" -> there"]', '"odd name" -> a;', "// nothing", "# nothing", "}"]
+    nodes, edges = documents.from_dot_lines(spark.createDataFrame([(t,) for t in text], "line string"))
+    assert rows(edges, "src", "dst", "weight") == [("a", "b", 2.5), ("b", "c", 2.5), ("odd name", "a", 1.0)]
+    assert rows(nodes, "name", "label") == [("a", "a"), ("b", "b"), ("c", "c"), ("d", 'say "hi" -> there'), ("odd name", "odd name")]
+
+
+def test_linkage_and_affinity(spark):
+    points = spark.createDataFrame([(k, 0.1 * k, 0.0) for k in range(5)] + [(k, 10 + 0.1 * k, 0.0) for k in range(5, 10)], "id long, x double, y double")
+    groups = rows(cluster.complete_linkage(points, 0.15), "group_id", "id")
+    assert groups == [(0, 0), (0, 1), (2, 2), (2, 3), (4, 4), (5, 5), (5, 6), (7, 7), (7, 8), (9, 9)]
+    near = {r.id: r.group_id for r in cluster.affinity_clusters(points, 0.5, 20).collect()}
+    assert len(near) == 10 and all((near[a] == near[b]) <= ((a < 5) == (b < 5)) for a in near for b in near)
+    with pytest.raises(ValueError):
+        cluster.affinity_clusters(points, 0.2)
+
+
+def test_depth_of_containers(spark):
+    def faults(n):
+        nodes = spark.createDataFrame([(k, "c", k - 1 if k else None, False) for k in range(n)], "id long, label string, parent long, collapsed boolean")
+        return rows(documents.violations(nodes, spark.createDataFrame([], "src long, dst long, weight double")), "check", "id")
+
+    assert faults(9) == [] and faults(10) == [(4, 9)]
