@@ -268,23 +268,58 @@ def test_lm_scores(docs, none):
 
 
 def test_suffix_tree_is_a_distribution(docs):
-    grams = docs.select("text").mapInArrow(lm_scoring.gram_rows, "gram long, n long")
-    tree = lm_scoring.suffix_tree(grams)
+    tree = lm_scoring.suffix_tree(docs.select("text"))
     assert np.allclose((10.0**tree.log_p).sum(axis=1), 1, atol=1e-4)
 
 
-def test_mixing(spark, docs, none):
-    rows = mixing.mixed(docs).collect()
-    per = defaultdict(list)
-    for r in rows:
-        per[r.doc_id, r.n_chars].append((r.copy, r.n_copies))
-    for own in per.values():
-        assert sorted(c for c, _ in own) == list(range(own[0][1])) and len({n for _, n in own}) == 1
-    assert mixing.mixed(none).count() == 0
-    many = spark.range(6000).selectExpr("id AS doc_id", "'x' AS text", "CASE WHEN id % 10 = 0 THEN 'rare' ELSE 'usual' END AS source")
-    sizes = {r.source: r["count"] for r in mixing.mixed(many, {"rare": 3.0, "usual": 1.0}).groupBy("source").count().collect()}
-    assert abs(sizes["rare"] - 4500) < 300 and abs(sizes["usual"] - 1500) < 200
-    assert {r.source for r in mixing.mixed(many, {"rare": 1.0}).select("source").distinct().collect()} == {"rare"}
+def plain_tree_scores(rows, least, gain):
+    """The model by its definition, with dictionaries: score by id."""
+    stop, depth = bytes([lm_scoring.STOP]), lm_scoring.DEPTH
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 10 == 0
+    words = {k: (t or "").encode().lower().split() for k, t in rows}
+    counts, grams = Counter(), [defaultdict(Counter) for _ in range(depth + 1)]
+    for k, _ in rows:
+        if held(k):
+            continue
+        counts.update([*words[k], b""])
+        text = stop * depth + b" ".join([*words[k], stop])
+        for at in range(depth, len(text)):
+            for d in range(depth + 1):
+                grams[d][text[at - d : at]][text[at]] += 1
+    total = sum(grams[0][b""].values())
+    width = len(grams[0][b""]) + 1
+    p, stays = {}, {b""}
+    for d in range(depth + 1):
+        for context, seen in grams[d].items():
+            n, kinds = sum(seen.values()), len(seen)
+            if d and n < least * total:
+                continue
+            below = p[context[1:]] if d else defaultdict(lambda: 1 / width)
+            p[context] = {x: (seen[x] + kinds * below[x]) / (n + kinds) for x in range(256)}
+            if d and sum(c * np.log(c / n / below[x]) for x, c in seen.items()) >= gain * kinds:
+                stays.update(context[j:] for j in range(d))
+    tokens, scores = sum(counts.values()), {}
+    for k, _ in rows:
+        text, score, own = stop * depth + b" ".join([*words[k], stop]), 0.0, 0.0
+        token = iter([*words[k], b""])
+        for at in range(depth, len(text)):
+            d = max(j for j in range(depth + 1) if text[at - j : at] in stays)
+            own += np.log10(p[text[at - d : at]][text[at]])
+            if text[at : at + 1] in (b" ", stop):
+                score += np.log10((1 - lm_scoring.SPELLED) * counts[next(token)] / tokens + lm_scoring.SPELLED * 10**own)
+                own = 0.0
+        scores[k] = score
+    return scores
+
+
+def test_scores_are_those_of_the_tree(spark):
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate([*texts, *texts[:5], "", None, "never seen words"])]
+    for least, gain in ((5e-4, 2.0), (4e-3, 1.0)):
+        found = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least, gain).collect()}
+        wanted = plain_tree_scores(rows, least, gain)
+        assert all(abs(found[k] - wanted[k]) < 1e-3 * (1 + abs(wanted[k])) for k in wanted), max((abs(found[k] - wanted[k]), k) for k in wanted)
 
 
 @pytest.fixture(scope="module")
