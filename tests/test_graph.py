@@ -164,8 +164,8 @@ def test_dot_text(spark):
 
 
 def test_linkage_and_affinity(spark):
-    points = spark.createDataFrame([(k, 0.1 * k, 0.0) for k in range(5)] + [(k, 10 + 0.1 * k, 0.0) for k in range(5, 10)], "id long, x double, y double")
-    groups = rows(cluster.complete_linkage(points, 0.15), "group_id", "id")
+    points = spark.createDataFrame([(k, float(k), 0.0) for k in range(5)] + [(k, 100.0 + k, 0.0) for k in range(5, 10)], "id long, x double, y double")
+    groups = rows(cluster.complete_linkage(points, 1.5), "group_id", "id")
     assert groups == [(0, 0), (0, 1), (2, 2), (2, 3), (4, 4), (5, 5), (5, 6), (7, 7), (7, 8), (9, 9)]
     near = {r.id: r.group_id for r in cluster.affinity_clusters(points, 0.5, 20).collect()}
     assert len(near) == 10 and all((near[a] == near[b]) <= ((a < 5) == (b < 5)) for a in near for b in near)
