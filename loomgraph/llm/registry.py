@@ -41,6 +41,13 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_report(documents(spark, sf_dir))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed clip rows of every document's file."""
+    from loomgraph.llm.media import clips, encode_files
+
+    return clips(encode_files(documents(spark, sf_dir)))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.lm_scoring import lm_scores
 
@@ -84,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op8_substring_dedup, op9_fingerprints, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op8_substring_dedup, op9_fingerprints, op10_toxicity, media_clips, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
