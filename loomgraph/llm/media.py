@@ -4,7 +4,8 @@ The writer stores 8-bit samples losslessly as the format's own unit, quantised D
 is the 64 coefficients (sample + 1) in zigzag order, with quantisation by 1. Its Huffman tables give every coefficient
 ten bits, code and magnitude together, so a block is 80 bytes and whole batches are coded by array operations. The files
 are plain baseline JPEG frames in a plain AVI with an index. The reader follows the RIFF index, decodes the frames'
-coefficients and pixels, and cuts shots where the histogram difference of two frames stands out from those before it.
+coefficients and pixels (its own frames by array operations, those of other writers by loomgraph.llm.jpeg), and cuts
+shots where the histogram difference of two frames stands out from those before it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomgraph.llm.arrow_tools import slices, strings
+from loomgraph.llm.jpeg import luma
 
 BLOCK, CODED, FRAME_BLOCKS, RATE = 64, 80, 64, 25
 BINS = 16
@@ -154,8 +156,8 @@ def indexed_frames(avi: bytes) -> tuple[list[bytes], float, int]:
     return [avi[base + at + 8 : base + at + 8 + size] for _, _, at, size in rows], rate, samples
 
 
-def entropy_data(frame: bytes) -> tuple[bytes, int, int]:
-    """The entropy-coded bytes of a frame, without stuffing, and its width and height; its tables must be the writer's."""
+def entropy_data(frame: bytes) -> tuple[bytes, int, int] | None:
+    """The entropy-coded bytes of one of the writer's frames, without stuffing, and its width and height; None for any other frame."""
     at, tables, size = 2, b"", (0, 0)
     while frame[at + 1] != 0xDA:
         marker, length = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
@@ -164,37 +166,48 @@ def entropy_data(frame: bytes) -> tuple[bytes, int, int]:
         elif marker == 0xC0:
             size = struct.unpack_from(">HH", frame, at + 5)
         at += 2 + length
+        if at + 4 > len(frame):
+            return None
     if tables != TABLES:
-        raise ValueError("this reader decodes frames whose coefficients have a fixed width")
+        return None
     at += 2 + struct.unpack_from(">H", frame, at + 2)[0]
     return frame[at : frame.rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff"), size[1], size[0]
 
 
 def decode(files: list[bytes]) -> list[tuple[bytes, float, np.ndarray]]:
-    """For each AVI its stored samples, its frame rate, and a luma histogram for each frame (rows sum to 1)."""
+    """For each AVI its stored samples (none where another writer made its frames), its frame rate, and a luma histogram for each frame (rows sum to 1)."""
     parsed = [indexed_frames(f) for f in files]
-    data = [entropy_data(f)[0] for frames, _, _ in parsed for f in frames]
-    if not data:
-        return []
-    sizes = np.array([len(d) // CODED for d in data])
-    groups = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 5).astype(np.uint64)
-    joined = groups[:, 0] << np.uint64(32) | groups[:, 1] << np.uint64(24) | groups[:, 2] << np.uint64(16) | groups[:, 3] << np.uint64(8) | groups[:, 4]
-    words = np.stack([joined >> np.uint64(30), joined >> np.uint64(20) & np.uint64(1023), joined >> np.uint64(10) & np.uint64(1023), joined & np.uint64(1023)], 1)
-    values = VALUES[words.reshape(-1, BLOCK)]
-    del groups, joined, words
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    total = np.cumsum(values[:, 0])
-    values[:, 0] = total - np.repeat(np.where(starts[:-1] > 0, total[starts[:-1] - 1], 0), sizes)
-    samples = (values - 1).astype(np.uint8).tobytes()
-    pixels = np.clip(values.astype(np.float32) @ BASIS + 128, 0, 255).astype(np.uint8)
-    frame_of = np.repeat(np.arange(len(sizes)), sizes)
-    histograms = np.bincount((frame_of[:, None] * BINS + pixels // (256 // BINS)).ravel(), minlength=len(sizes) * BINS).reshape(-1, BINS)
-    histograms = histograms / histograms.sum(1, keepdims=True)
+    found = [entropy_data(f) for frames, _, _ in parsed for f in frames]
+    data = [x[0] for x in found if x]
+    histograms = np.zeros((len(found), BINS))
+    own = np.array([x is not None for x in found], bool)
+    samples, starts = b"", np.zeros(1, np.int64)
+    if data:
+        sizes = np.array([len(d) // CODED for d in data])
+        groups = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 5).astype(np.uint64)
+        joined = groups[:, 0] << np.uint64(32) | groups[:, 1] << np.uint64(24) | groups[:, 2] << np.uint64(16) | groups[:, 3] << np.uint64(8) | groups[:, 4]
+        words = np.stack([joined >> np.uint64(30), joined >> np.uint64(20) & np.uint64(1023), joined >> np.uint64(10) & np.uint64(1023), joined & np.uint64(1023)], 1)
+        values = VALUES[words.reshape(-1, BLOCK)]
+        del groups, joined, words
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        total = np.cumsum(values[:, 0])
+        values[:, 0] = total - np.repeat(np.where(starts[:-1] > 0, total[starts[:-1] - 1], 0), sizes)
+        samples = (values - 1).astype(np.uint8).tobytes()
+        pixels = np.clip(values.astype(np.float32) @ BASIS + 128, 0, 255).astype(np.uint8)
+        frame_of = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount((frame_of[:, None] * BINS + pixels // (256 // BINS)).ravel(), minlength=len(sizes) * BINS).reshape(-1, BINS)
+        histograms[own] = counts / counts.sum(1, keepdims=True)
+    every = [f for frames, _, _ in parsed for f in frames]
+    for k in np.flatnonzero(~own).tolist():
+        plane = luma(every[k], BASIS)
+        histograms[k] = np.bincount(plane.ravel() // (256 // BINS), minlength=BINS) / plane.size
     out, k = [], 0
+    before = np.concatenate([[0], np.cumsum(own)])
     for frames, rate, stored in parsed:
-        own = samples[BLOCK * starts[k] : BLOCK * starts[k + len(frames)]]
-        out.append((own[:stored] if stored >= 0 else own, rate, histograms[k : k + len(frames)]))
-        k += len(frames)
+        end = k + len(frames)
+        held = samples[BLOCK * starts[before[k]] : BLOCK * starts[before[end]]] if own[k:end].all() else b""
+        out.append((held[:stored] if stored >= 0 else held, rate, histograms[k:end]))
+        k = end
     return out
 
 
@@ -230,7 +243,10 @@ def encode_files(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of (doc_id, media) rows; a null file has none, and one that is no motion-JPEG AVI raises an error."""
+    """Timed clip rows of (doc_id, media) rows of any writer's baseline frames.
+
+    A null file has none, and one that is no motion-JPEG AVI, or holds frames that are not baseline, raises an error.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int32()), ("n_frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("luma", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -233,6 +233,83 @@ def test_media_round_trip(docs, none):
     assert media.media_report(none).count() == 0
 
 
+def other_jpeg(planes, factors, quant, restart=0, with_tables=True):
+    """A baseline encoder with the standard tables: planes of whole blocks, in MCUs of the given sampling factors."""
+    from loomgraph.llm import jpeg
+
+    inverse = [{s: (n, c) for (n, c), s in jpeg.codes(*t).items()} for t in (jpeg.DC_LUMA, jpeg.AC_LUMA, jpeg.DC_CHROMA, jpeg.AC_CHROMA)]
+    bits, out, last = "", b"", [0] * len(planes)
+
+    def size_bits(v):
+        n = abs(v).bit_length()
+        return n, format(v if v >= 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def flushed():
+        return int(bits.ljust(-(-len(bits) // 8) * 8, "1") or "0", 2).to_bytes(-(-len(bits) // 8), "big").replace(b"\xff", b"\xff\0")
+
+    rows, columns = planes[0].shape[0] // (8 * factors[0][1]), planes[0].shape[1] // (8 * factors[0][0])
+    for unit in range(rows * columns):
+        if restart and unit and unit % restart == 0:
+            out += flushed() + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            bits, last = "", [0] * len(planes)
+        for k, (plane, (h, v)) in enumerate(zip(planes, factors, strict=True)):
+            dc, ac = inverse[2 * (k > 0)], inverse[2 * (k > 0) + 1]
+            for block in range(h * v):
+                y, x = (unit // columns * v + block // h) * 8, (unit % columns * h + block % h) * 8
+                # The basis is orthonormal, so its transpose takes pixels to coefficients.
+                c = np.rint((plane[y : y + 8, x : x + 8].reshape(64) - 128.0) @ media.BASIS.T / quant).astype(int).tolist()
+                n, b = size_bits(c[0] - last[k])
+                last[k] = c[0]
+                bits += format(dc[n][1], f"0{dc[n][0]}b") + b
+                run = 0
+                for j in range(1, 64):
+                    if not any(c[j:]):
+                        bits += format(ac[0][1], f"0{ac[0][0]}b")
+                        break
+                    if not c[j]:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits += format(ac[0xF0][1], f"0{ac[0xF0][0]}b")
+                        run -= 16
+                    n, b = size_bits(c[j])
+                    bits += format(ac[run << 4 | n][1], f"0{ac[run << 4 | n][0]}b") + b
+                    run = 0
+    out += flushed()
+    seg = media._segment
+    head = b"\xff\xd8" + seg(0xE0, b"AVI1") + seg(0xDB, b"\0" + bytes(quant.astype(np.uint8)))
+    if with_tables:
+        for name, t in ((0, jpeg.DC_LUMA), (0x10, jpeg.AC_LUMA), (1, jpeg.DC_CHROMA), (0x11, jpeg.AC_CHROMA)):
+            head += seg(0xC4, bytes([name]) + t[0] + t[1])
+    height, width = planes[0].shape
+    head += seg(0xC0, bytes([8, height >> 8, height & 255, width >> 8, width & 255, len(planes)]) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(factors)))
+    if restart:
+        head += seg(0xDD, bytes([0, restart]))
+    return head + seg(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0x11 * (k > 0)]) for k in range(len(planes))) + bytes([0, 63, 0])) + out + b"\xff\xd9"
+
+
+def test_frames_of_another_writer(spark):
+    from loomgraph.llm import jpeg
+
+    assert all(sum(t[0]) == len(t[1]) == len(set(t[1])) for t in (jpeg.DC_LUMA, jpeg.DC_CHROMA, jpeg.AC_LUMA, jpeg.AC_CHROMA))
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[0:32, 0:48]
+    plane = np.clip(128 + 90 * np.sin(x / 7) * np.cos(y / 5) + rng.normal(0, 6, (32, 48)), 0, 255)
+    quant = np.concatenate([[3], np.full(63, 2)]).astype(float)
+    chroma = [np.full((16, 24), 90.0), np.full((16, 24), 160.0) + rng.normal(0, 3, (16, 24))]
+    colour = [plane, *chroma], [(2, 2), (1, 1), (1, 1)]
+    for planes, factors, restart, tables in (([plane], [(1, 1)], 0, True), (*colour, 0, True), (*colour, 0, False), (*colour, 2, True)):
+        got = jpeg.luma(other_jpeg(planes, factors, quant, restart, tables), media.BASIS)
+        assert got.shape == plane.shape and np.abs(got - plane).max() < 12 and np.abs(got - plane).mean() < 2
+    dark, light = plane / 4, 255 - plane / 4
+    frames = [other_jpeg([p, *chroma], colour[1], quant) for p in [dark] * 4 + [light] * 3]
+    rows = [(1, bytearray(media.avi_file(frames, 48, 32, -1))), (2, bytearray(media.encode([bytes(64)])[0])), (3, None)]
+    clips = media.clips(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert sorted((c.doc_id, c.first_frame, c.n_frames) for c in clips) == [(1, 0, 4), (1, 4, 3), (2, 0, 1)]
+    with pytest.raises(ValueError):
+        jpeg.luma(b"\xff\xd8\xff\xc2\x00\x04\x08\x00", media.BASIS)
+
+
 def test_shots():
     flat, other = np.eye(16)[0], np.eye(16)[9]
     assert media.shots(np.array([flat] * 5 + [other] * 4 + [flat])) == [(0, 5), (5, 4), (9, 1)]
