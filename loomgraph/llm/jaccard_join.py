@@ -7,9 +7,8 @@ then by the prefixes under the other orders, and what all filters leave is verif
 frequent shingles last, by a count sketch of fixed size, so that common passages propose few pairs.
 
 Only components are asked for, so equal sets are one class, and a bucket (of one shingle) is not expanded into its pairs:
-each member meets a few hubs of its bucket, and then members meet whose components still differ. Of the pairs that meet,
-each component's best one (by shared prefix shingles) is compared first; what then lies within a component needs no
-comparison, and all other pairs get theirs.
+each member is compared with a few hubs of its bucket, then with a few hubs of each other component in it, and at last
+members of different components with each other. The work of the last step is what no component can settle.
 """
 
 from __future__ import annotations
@@ -36,12 +35,12 @@ NUMERATOR, DENOMINATOR = 3, 4
 COUNTERS, SEGMENT = 1 << 20, 1 << 16
 #: Bytes of text that are hashed at a time; longer texts go window by window.
 WINDOW = 1 << 18
-#: The arrays of the documents with most partners are broadcast: at most so many bytes in all, and so many for one document.
-SENT_BYTES, SENT_EACH = 32 << 20, 16 << 10
+#: The arrays of the documents with most partners are broadcast: at most so many bytes in all, and so many for one document (prefixes, sets).
+SENT_BYTES, SENT_PREFIXES, SENT_SET = 32 << 20, 4 << 10, 16 << 10
 #: Partners from which on a document's arrays may be broadcast.
 PARTNERS = 4
 #: Hubs of a bucket: of those members whose ids hash to a slot, the smallest id.
-HUBS = 2
+HUBS = 4
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -341,8 +340,8 @@ def members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
 
 
-def with_arrays(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs with the arrays of both documents. held: (rep, and arrays in the other columns).
+def with_arrays(pairs: DataFrame, held: DataFrame, each: int) -> DataFrame:
+    """The pairs with the arrays of both documents. held: (rep, and arrays in the other columns); each: most bytes of one to be broadcast.
 
     The documents with most partners are broadcast, as many as fit the bound, so their partners' arrays move once; in other
     pairs one side's arrays travel with the pair.
@@ -353,11 +352,11 @@ def with_arrays(pairs: DataFrame, held: DataFrame) -> DataFrame:
         return table.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in names))
 
     degrees = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
-    most = degrees.where(F.col("m") >= PARTNERS).orderBy(F.desc("m"), "rep").limit(SENT_BYTES // SENT_EACH).select("rep")
+    most = degrees.where(F.col("m") >= PARTNERS).orderBy(F.desc("m"), "rep").limit(SENT_BYTES // each).select("rep")
     size = sum((F.octet_length(c) for c, kind in held.dtypes if kind == "binary"), F.lit(0))
     # A document that has several rows (of a repeated id) goes the other way, so that the bound holds.
     few = held.join(F.broadcast(most), "rep").withColumn("bytes", size).groupBy("rep").agg(F.count(F.lit(1)).alias("k"), F.max("bytes").alias("bytes"), *(F.first(c).alias(c) for c in names))
-    sent = materialize(few.where((F.col("k") == 1) & (F.col("bytes") <= SENT_EACH)).select("rep", *names), "sent-arrays")
+    sent = materialize(few.where((F.col("k") == 1) & (F.col("bytes") <= each)).select("rep", *names), "sent-arrays")
     ids = sent.select("rep")
     flagged = pairs.join(F.broadcast(ids.withColumnRenamed("rep", "b").withColumn("sent_b", F.lit(True))), "b", "left").join(F.broadcast(ids.withColumnRenamed("rep", "a").withColumn("sent_a", F.lit(True))), "a", "left")
     to_sent = flagged.where("sent_b OR sent_a").select(F.when(F.col("sent_b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("sent_b"), F.col("b")).otherwise(F.col("a")).alias("b"))
@@ -372,9 +371,9 @@ def verified(pairs: DataFrame, others: DataFrame, docs: DataFrame) -> DataFrame:
     Prefixes, and then sets, are read for the documents of the pairs only.
     """
     near = others.mapInArrow(_held(ids_filter(members(pairs)).test()), OTHERS)
-    left = materialize(with_arrays(pairs, near).mapInArrow(_share_prefixes, "a long, b long").distinct(), "filtered-pairs")
+    left = materialize(with_arrays(pairs, near, SENT_PREFIXES).mapInArrow(_share_prefixes, "a long, b long").distinct(), "filtered-pairs")
     sets = docs.mapInArrow(_sets(ids_filter(members(left)).test()), "rep long, hashes binary")
-    return materialize(with_arrays(left, sets).mapInArrow(_alike, "a long, b long").distinct(), "links")
+    return materialize(with_arrays(left, sets, SENT_SET).mapInArrow(_alike, "a long, b long").distinct(), "links")
 
 
 def _possible(x: str, y: str):
@@ -386,58 +385,33 @@ def _possible(x: str, y: str):
 
 
 def _met(x: DataFrame, y: DataFrame, condition) -> DataFrame:
-    """(a, b, shared): pairs of different documents in a bucket that sizes, positions and the condition leave."""
+    """The pairs of different documents in a bucket that sizes, positions and the condition leave."""
     rows = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & condition & _possible("x", "y"))
-    return rows.groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    return rows.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
-def _hubs(rows: DataFrame) -> DataFrame:
-    """For each bucket, range of sizes and slot the member of the smallest id; m: members that share it."""
+def _hubs(rows: DataFrame, *keys: str) -> DataFrame:
+    """For each bucket, range of sizes and slot (and component) the member of the smallest id; m: members that share it."""
     slotted = rows.withColumn("slot", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).cast("int"))
-    found = slotted.groupBy("token", "band", "slot").agg(F.min(F.struct("rep", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("m"))
-    return found.select("token", "band", "slot", "hub.*", "m")
+    found = slotted.groupBy("token", "band", "slot", *keys).agg(F.min(F.struct("rep", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("m"))
+    return found.select("token", "band", "slot", *keys, "hub.*", "m")
 
 
-def _between_components(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket whose components differ."""
+def _between_components(rest: DataFrame, labels: DataFrame, by_hubs: bool) -> DataFrame | None:
+    """Pairs of members whose components differ: with hubs of the other components, or all that are left. None: no bucket has two."""
     known = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     several = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     known = materialize(known.join(several, "token", "left_semi"), "open-prefix-rows")
+    if known.isEmpty():
+        return None
+    apart = F.col("x.component") != F.col("y.component")
+    if by_hubs:
+        return _met(known, _hubs(known, "component"), apart)
     # A bucket's largest component does not meet itself: smaller ones meet it and each other.
     sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("most")).select("token", F.col("most.component").alias("largest"))
     minor = known.join(largest, "token").where("component <> largest").drop("largest")
-    return _met(minor, known, F.col("x.component") != F.col("y.component"))
-
-
-class Links:
-    """The links found so far, and the components that they make."""
-
-    def __init__(self, first: DataFrame, others: DataFrame, docs: DataFrame):
-        self.others, self.docs = others, docs
-        self.links, self.labels = first, component_labels(first, "a", "b")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (with x and y, their components) whose components differ."""
-        for side, name in (("a", "x"), ("b", "y")):
-            pairs = pairs.join(self.labels.select(F.col("id").alias(side), F.col("component").alias(name)), side, "left").withColumn(name, F.coalesce(name, side))
-        return pairs.where("x <> y")
-
-    def compare(self, pairs: DataFrame) -> None:
-        self.links = self.links.union(verified(pairs, self.others, self.docs))
-        self.labels = component_labels(self.links, "a", "b")
-
-    def settle(self, pairs: DataFrame) -> None:
-        """Compares the best pair of each component, and then all that lie between components."""
-        pairs = materialize(self.apart(pairs), "open-pairs")
-        if pairs.isEmpty():
-            return
-        ends = pairs.select(F.col("x").alias("component"), F.struct("shared", "a", "b").alias("e")).union(pairs.select("y", F.struct("shared", "a", "b")))
-        best = materialize(ends.groupBy("component").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct(), "best-pairs")
-        self.compare(best)
-        left = materialize(self.apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti")).select("a", "b"), "open-pairs")
-        if not left.isEmpty():
-            self.compare(left)
+    return _met(minor, known, apart)
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -466,18 +440,24 @@ def link_components(docs: DataFrame) -> DataFrame:
     others = spark.read.schema(PREFIXES).parquet(prefixes).where("part = 'others'").select("rep", "n", "second", "third")
 
     hubs = materialize(_hubs(rows), "hubs")
+    near = F.abs(F.col("x.band") - F.col("y.band")) <= 1
+    tried = materialize(_met(rows, hubs, near), "hub-pairs")
     # Documents whose rows have different sets hold these together.
     split = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("doc_id")
-    found = Links(materialize(placed.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "own-links"), others, slim)
-    tried = materialize(_met(rows, hubs, F.abs(F.col("x.band") - F.col("y.band")) <= 1), "hub-pairs")
-    found.settle(tried)
-    # Two members of a bucket that are no hubs have not met yet.
+    links = verified(tried, others, slim).union(placed.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    labels = component_labels(links, "a", "b")
+
     crowded = hubs.where("m > 1").select("token", "band", "slot", F.col("rep").alias("hub"))
     slotted = rows.withColumn("slot", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).cast("int"))
     rest = materialize(slotted.join(crowded, ["token", "band", "slot"]).where("rep <> hub").drop("slot", "hub"), "rest-rows")
-    found.settle(_between_components(rest, found.labels).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    for by_hubs in (True, False):
+        pairs = _between_components(rest, labels, by_hubs)
+        if pairs is None:
+            break
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "open-pairs")
+        tried, links = tried.union(pairs), links.union(verified(pairs, others, slim))
+        labels = component_labels(links, "a", "b")
 
-    labels = found.labels
     named = placed.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
