@@ -26,16 +26,21 @@ def local_session(name: str = "loomgraph", cores: str = "*", partitions: int = 8
     return spark
 
 
+#: Folders of local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Local sessions get a temporary one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+    return _own_folders[context.applicationId]
 
 
 def written(df: DataFrame, label: str, *partition_by: str) -> str:
