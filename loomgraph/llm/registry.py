@@ -84,6 +84,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.language_id import language_report
+
+    return language_report(documents(spark, sf_dir))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.lexical_search import search
+
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.periodic_runs import run_report
+
+    return run_report(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op8_substring_dedup, op9_fingerprints, op10_toxicity, media_clips, pipeline)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_packing, op4_media_columns, op5_lm_scoring, op6_mixing, op7_line_dedup, op8_substring_dedup, op9_fingerprints, op10_toxicity, op11_language_id, op12_lexical_search, op13_periodic_runs, media_clips, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
