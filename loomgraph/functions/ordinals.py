@@ -16,3 +16,18 @@ def with_ordinal(df: DataFrame, *order, name: str = "ordinal") -> DataFrame:
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return local.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_k")).cast("long")).drop("_part", "_k", "_before")
+
+
+def with_sum_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
+    """Adds, within each key, the sum of a column over the rows that come earlier in the given order.
+
+    Rows are dealt by ranges of key and order, so a key with any share of the rows is spread over ranges; the sums of
+    whole ranges are broadcast for keys that lie in more than one, of which there are fewer than ranges.
+    """
+    parts = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    earlier = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = materialize(parts.withColumn("_own", F.coalesce(F.sum(value).over(earlier), F.lit(0))), "sums")
+    totals = local.groupBy("_part", *keys).agg(F.sum(value).alias("_sum"))
+    ranges = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.withColumn("_carried", F.sum("_sum").over(ranges)).where("_carried IS NOT NULL").drop("_sum")
+    return local.join(F.broadcast(carried), ["_part", *keys], "left").withColumn(name, F.col("_own") + F.coalesce("_carried", F.lit(0))).drop("_part", "_own", "_carried")

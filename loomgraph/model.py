@@ -7,6 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Equal parallel edges that are numbered at a time.
+BLOCK = 4096
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -21,11 +24,23 @@ class Graph:
 
     @staticmethod
     def from_edges(edges: DataFrame, nodes: DataFrame | None = None) -> Graph:
-        """Edges (src, dst, weight); nodes default to the endpoints."""
+        """Edges (src, dst, weight); nodes default to the endpoints.
+
+        An edge's id is a hash of its columns, and for the second and further ones of equal parallel edges of their
+        ordinal too, so each has an id of its own that does not depend on the order of rows.
+        """
         rows = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight"))
         if nodes is None:
             nodes = rows.select(F.col("src").alias("id")).union(rows.select("dst")).distinct()
-        return Graph(nodes, rows.withColumn("edge_id", F.xxhash64("src", "dst", "weight")))
+        counted = rows.groupBy("src", "dst", "weight").agg(F.count(F.lit(1)).alias("_n"))
+        # Ordinals in blocks, so that no array grows with the number of equal edges.
+        last = F.floor((F.col("_n") - 1) / BLOCK)
+        in_blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        ends = F.least(F.col("_n") - F.col("_block") * BLOCK, F.lit(BLOCK))
+        each = in_blocks.select("src", "dst", "weight", "_block", F.explode(F.sequence(F.lit(0).cast("long"), ends - 1)).alias("_k"))
+        ordinal = F.col("_block") * BLOCK + F.col("_k")
+        edge_id = F.when(ordinal == 0, F.xxhash64("src", "dst", "weight")).otherwise(F.xxhash64("src", "dst", "weight", ordinal))
+        return Graph(nodes, each.select("src", "dst", "weight", edge_id.alias("edge_id")))
 
     def undirected(self) -> DataFrame:
         """Distinct (src, dst) in both directions, without loops."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import materialize
+from loomgraph.session import counted, materialize
 
 
 class NegativeCycle(ValueError):
@@ -26,8 +26,8 @@ def hop_levels(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -
     seen = frontier
     for level in range(1, max_rounds + 1):
         reached = frontier.join(links, frontier.id == links.src).select("source", F.col("dst").alias("id")).distinct()
-        fresh = materialize(reached.join(seen, ["source", "id"], "left_anti").withColumn("level", F.lit(level)), "hop-frontier")
-        if not fresh.limit(1).count():
+        fresh, n = counted(reached.join(seen, ["source", "id"], "left_anti").withColumn("level", F.lit(level)), "hop-frontier")
+        if not n:
             return seen
         frontier, seen = fresh, seen.unionByName(fresh)
         if level % 8 == 0:

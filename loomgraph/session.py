@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -64,6 +65,33 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def counted(df: DataFrame, label: str, condition: str = "true") -> tuple[DataFrame, int]:
+    """Like materialize, with the number of rows that meet a condition, counted while they are written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), label)
+    return table, seen.get["n"]
+
+
+class Rounds:
+    """A table that a loop writes anew in each round: put gives the new version and deletes the one before it."""
+
+    def __init__(self, label: str):
+        self.label, self.path = label, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = written(df, self.label)
+        if self.path:
+            remove(df.sparkSession, self.path)
+        self.path = path
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def counted(self, df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+        """The new version, and how many of its rows meet a condition."""
+        seen = Observation()
+        table = self.put(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+        return table, seen.get["n"]
+
+
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Lets Arrow batches of this session hold no more than some bytes, so that long texts do not add up in a task's memory."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
