@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import materialize
+from loomgraph.session import counted, materialize
 
 
 def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
@@ -24,8 +24,7 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_r
         step = state.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         jump = state.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
         after = step.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("beyond", "component")).alias("component"))
-        after = materialize(after, "components")
-        changed = after.where("old <> component").limit(1).count()
+        after, changed = counted(after, "components", "old <> component")
         state = after.select("id", "component")
         if not changed:
             return state

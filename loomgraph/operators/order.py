@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.model import Graph
 from loomgraph.operators.components import component_labels
 from loomgraph.operators.reach import reach_pairs
-from loomgraph.session import materialize
+from loomgraph.session import counted, materialize
 
 
 def topological_rounds(graph: Graph) -> DataFrame:
@@ -113,8 +113,8 @@ def spanning_forest(graph: Graph) -> DataFrame:
     chosen = None
     while True:
         a, b = label.select(F.col("id").alias("src"), F.col("component").alias("a")), label.select(F.col("id").alias("dst"), F.col("component").alias("b"))
-        open_ = materialize(links.join(a, "src").join(b, "dst").where("a <> b"), "forest-open")
-        if not open_.limit(1).count():
+        open_, n = counted(links.join(a, "src").join(b, "dst").where("a <> b"), "forest-open")
+        if not n:
             break
         sides = open_.select("a", F.struct("weight", "edge_id", "src", "dst").alias("e")).union(open_.select("b", F.struct("weight", "edge_id", "src", "dst")))
         best = materialize(sides.groupBy("a").agg(F.min("e").alias("e")).select("e.*").distinct(), "forest-chosen")
