@@ -78,7 +78,7 @@ def _contracted(links: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFr
             best, side = light.w, materialize(members.where(F.col("to") == light.v).select("id"), "cut-side")
         heavy, n = counted(_held_by_ways(links, best), "cut-heavy")
         if not n:
-            parts = math.ceil(best / links.agg(F.percentile_approx("w", 0.5)).first()[0])
+            parts = math.ceil(best / links.agg(F.percentile_approx("w", 0.75)).first()[0])
             if parts <= MOST_FORESTS:
                 heavy, n = counted(_held_by_forests(links, best, parts), "cut-heavy")
         if not n:
@@ -90,7 +90,7 @@ def _contracted(links: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFr
 
 #: Links of a node over which pairs of its neighbours are looked at as being held together by it.
 MIDDLE = 64
-#: Forests that are taken at most before the rest is left to chance; they are as fine as the median link asks for.
+#: Forests that are taken at most before the rest is left to chance; they are as fine as the upper quarter of the links asks for.
 MOST_FORESTS = 64
 #: Rows (trials times links) that are contracted side by side; further trials follow.
 ROWS = 20_000_000

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.model import Graph
 from loomgraph.operators.components import component_labels
 from loomgraph.operators.reach import reach_pairs
-from loomgraph.session import counted, materialize
+from loomgraph.session import Rounds, materialize
 
 
 def topological_rounds(graph: Graph) -> DataFrame:
@@ -103,22 +103,37 @@ def transitive_reduction(graph: Graph) -> DataFrame:
     return single.join(a.join(b, "mid").select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+def _roots(pointers: DataFrame) -> DataFrame:
+    """(a, to): where following the pointers (a, to) ends; each way ends in two that point at each other, the smaller one counts."""
+    back = pointers.select(F.col("a").alias("to"), F.col("to").alias("back"))
+    rounds, moved = Rounds("roots"), 1
+    state = rounds.put(pointers.join(back, "to").select("a", F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("to")), F.col("a")).otherwise(F.col("to")).alias("to")))
+    while moved:
+        jump = state.select(F.col("a").alias("to"), F.col("to").alias("beyond"))
+        table, moved = rounds.counted(state.join(jump, "to").select("a", F.col("beyond").alias("to"), (F.col("beyond") != F.col("to")).alias("moved")), "moved")
+        state = table.select("a", "to")
+    return state
+
+
 def spanning_forest(graph: Graph) -> DataFrame:
     """(src, dst, weight, edge_id): a minimum spanning forest of the undirected reading, by rounds of cheapest edges.
 
-    Ties go to the smaller edge_id, so that the chosen edges of a round close no cycle. Rounds are logarithmic in nodes.
+    Ties go to the smaller edge_id, so that the chosen edges of a round close no cycle. Links carry the components of
+    their ends, which follow each other's choices to one root; what lies within a component is dropped. Rounds are
+    logarithmic in nodes.
     """
-    links = materialize(graph.edges.where("src <> dst").select("src", "dst", "weight", "edge_id"), "forest-links")
-    label = materialize(graph.nodes.select("id", F.col("id").alias("component")), "forest-labels")
+    rounds = Rounds("forest-links")
+    plain = graph.edges.where("src <> dst").select("src", "dst", "weight", "edge_id")
+    links, n = rounds.counted(plain.withColumns({"a": F.col("src"), "b": F.col("dst")}), "true")
     chosen = None
-    while True:
-        a, b = label.select(F.col("id").alias("src"), F.col("component").alias("a")), label.select(F.col("id").alias("dst"), F.col("component").alias("b"))
-        open_, n = counted(links.join(a, "src").join(b, "dst").where("a <> b"), "forest-open")
-        if not n:
-            break
-        sides = open_.select("a", F.struct("weight", "edge_id", "src", "dst").alias("e")).union(open_.select("b", F.struct("weight", "edge_id", "src", "dst")))
-        best = materialize(sides.groupBy("a").agg(F.min("e").alias("e")).select("e.*").distinct(), "forest-chosen")
-        chosen = best if chosen is None else chosen.union(best)
-        moved = component_labels(best.join(a, "src").join(b, "dst"), "a", "b")
-        label = materialize(label.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "forest-labels")
-    return (chosen if chosen is not None else links.limit(0)).select("src", "dst", "weight", "edge_id").distinct()
+    while n:
+        edge = lambda to: F.struct("weight", "edge_id", "src", "dst", F.col(to).alias("to")).alias("e")
+        sides = links.select("a", edge("b")).union(links.select("b", edge("a")))
+        best = materialize(sides.groupBy("a").agg(F.min("e").alias("e")).select("a", "e.*"), "forest-chosen")
+        took = best.select("src", "dst", "weight", "edge_id")
+        chosen = took if chosen is None else chosen.union(took)
+        root = _roots(best.select("a", "to"))
+        x, y = root.select("a", F.col("to").alias("x")), root.select(F.col("a").alias("b"), F.col("to").alias("y"))
+        moved = links.join(x, "a").join(y, "b").where("x <> y").select("src", "dst", "weight", "edge_id", F.col("x").alias("a"), F.col("y").alias("b"))
+        links, n = rounds.counted(moved, "true")
+    return (chosen if chosen is not None else plain.limit(0)).distinct()
