@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.model import Graph
 from loomgraph.operators.components import component_labels
 from loomgraph.operators.reach import reach_pairs
-from loomgraph.session import Rounds, materialize
+from loomgraph.session import Rounds, counted, materialize
 
 
 def topological_rounds(graph: Graph) -> DataFrame:
@@ -54,36 +54,68 @@ def is_bipartite(graph: Graph) -> bool:
     return not pairs.where("n = 2 AND c = 1").limit(1).count()
 
 
-def _spread(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """The smallest label that reaches each node along links, by rounds over the whole state."""
-    state = materialize(labels, "spread")
-    while True:
-        near = state.join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("m"))
-        after = materialize(state.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label")), "spread")
-        if not after.where("old <> label").limit(1).count():
-            return after.select("id", "label")
-        state = after.select("id", "label")
+def _spread(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, label): the smallest id that reaches each node along links.
+
+    Only labels that changed in a round are handed on, to followers and to those that bear the changed node as their
+    label: what reaches it reaches them. So a way of any length takes a number of rounds that is logarithmic in practice.
+    """
+    rounds, moved = Rounds("spread"), 1
+    state = rounds.put(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")))
+    while moved:
+        fresh = state.where("moved").select(F.col("id").alias("src"), "label")
+        near = fresh.join(links, "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("near"))
+        beyond = fresh.where("src <> label").select(F.col("src").alias("label"), F.col("label").alias("beyond"))
+        rows = state.select("id", "label").join(near, "id", "left").join(beyond, "label", "left")
+        least = F.least("label", F.coalesce("near", "label"), F.coalesce("beyond", "label"))
+        state, moved = rounds.counted(rows.select("id", least.alias("label"), (least < F.col("label")).alias("moved")), "moved")
+    return state.select("id", "label")
+
+
+#: Nodes without links in or out are taken off again as long as a round takes at least this share of those left.
+TRIMMED = 0.01
+
+
+def _trimmed(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Nodes and links that may lie on circles, and the nodes that do not."""
+    alone, left = None, nodes.count()
+    while left:
+        inner = links.select(F.col("src").alias("id")).intersect(links.select("dst"))
+        off, n = counted(nodes.join(inner, "id", "left_anti"), "strong-alone")
+        if not n:
+            break
+        alone = off if alone is None else alone.union(off)
+        nodes = materialize(nodes.join(off, "id", "left_anti"), "strong-nodes")
+        links = materialize(links.join(off.select(F.col("id").alias("src")), "src", "left_anti").join(off.select(F.col("id").alias("dst")), "dst", "left_anti"), "strong-links")
+        if n < TRIMMED * left:
+            break
+        left -= n
+    return nodes, links, alone
 
 
 def strong_components(graph: Graph) -> DataFrame:
     """(id, component): the smallest member of a node's strongly connected component.
 
-    Rounds of forward colouring: a node's colour is the smallest id that reaches it. Within a colour, what reaches the
-    colour's own node backwards is a component; the rest goes into the next round.
+    Nodes without links in or out are components of their own. Rounds of forward colouring for the rest: a node's colour
+    is the smallest id that reaches it; those of a colour that reach that id in turn are a component, and the others go
+    into the next round.
     """
     nodes = materialize(graph.nodes.select("id"), "strong-nodes")
     links = materialize(graph.edges.select("src", "dst").where("src <> dst").distinct(), "strong-links")
-    done = None
+    done = nodes.limit(0).select("id", F.col("id").alias("component"))
     while nodes.limit(1).count():
-        colour = _spread(links, nodes.withColumn("label", F.col("id")))
-        inner = links.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        nodes, links, alone = _trimmed(nodes, links)
+        if alone is not None:
+            done = done.union(alone.select("id", F.col("id").alias("component")))
+        colour = materialize(_spread(links, nodes), "strong-colour")
+        a, b = colour.select(F.col("id").alias("src"), F.col("label").alias("a")), colour.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+        inner = links.join(a, "src").join(b, "dst").where("a = b")
         back = materialize(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "strong-back")
-        marked = _spread(back, colour.select("id", F.when(F.col("id") == F.col("label"), F.lit(0)).otherwise(F.lit(1)).alias("label")))
-        found = materialize(marked.where("label = 0").select("id").join(colour, "id").select("id", F.col("label").alias("component")), "strong-found")
-        done = found if done is None else done.union(found)
+        found = materialize(_spread(back, nodes).join(colour.select("id", F.col("label").alias("component")), "id").where("label = component").select("id", "component"), "strong-found")
+        done = done.union(found)
         nodes = materialize(nodes.join(found, "id", "left_anti"), "strong-nodes")
         links = materialize(links.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"), "strong-links")
-    return done if done is not None else nodes.withColumn("component", F.col("id"))
+    return done
 
 
 def condensation(graph: Graph) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.ordinals import with_ordinal
 from loomgraph.model import Graph
 from loomgraph.operators import flow, matching, trails
-from loomgraph.operators.order import component_ids
+from loomgraph.operators.order import component_ids, strong_components
 from loomgraph.plans import sql
 from loomgraph.plans.registry import query
 from loomgraph.plans.view_queries import GEO, geo
@@ -112,3 +112,15 @@ def maximum_matching_users(spark, sf_dir):
 def maximum_matching_steps(spark, sf_dir):
     """All links between users: so dense that one user at most stays alone."""
     return matching.maximum_matching(tables.user_steps(spark, sf_dir)).pairs.agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"WITH RECURSIVE {sql.USERS}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r(src, dst) AS (SELECT id, id FROM n UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT a.src AS id, min(a.dst) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY 1")
+def strong_components_steps(spark, sf_dir):
+    """All links between users."""
+    return strong_components(tables.user_steps(spark, sf_dir))
+
+
+@query("WITH p AS (SELECT p_partkey AS id FROM part UNION ALL SELECT s_suppkey + 1000000 FROM supplier) SELECT id, id AS component FROM p")
+def strong_components_supply(spark, sf_dir):
+    """Every link leads from a part to a supplier: nothing lies on a circle."""
+    return strong_components(tables.supply(spark, sf_dir))

@@ -150,3 +150,20 @@ def test_matching(graph, spark, n, links):
                 label[a] = label[b] = min(label[a], label[b])
     odd = sum(list(label.values()).count(c) % 2 for c in set(label.values()))
     assert odd - len(barrier) == n - 2 * len(pairs)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_strong_components(graph, seed):
+    from loomgraph.operators.order import strong_components
+
+    rng = random.Random(seed)
+    n = 30
+    edges = [(k, (k + 1) % 9, 1) for k in range(9)] + [(k, k + 1, 1) for k in range(9, 29)] + [(rng.randrange(n), rng.randrange(n), 1) for _ in range(12)]
+    reach = {v: {v} for v in range(n)}
+    for _ in range(n):
+        for a, b, _w in edges:
+            for v in range(n):
+                if a in reach[v]:
+                    reach[v].add(b)
+    got = {r.id: r.component for r in strong_components(graph(edges, range(n))).collect()}
+    assert got == {v: min(u for u in reach[v] if v in reach[u]) for v in range(n)}
