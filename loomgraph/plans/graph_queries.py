@@ -183,7 +183,7 @@ def is_bipartite(spark, sf_dir):
     return flag(spark, "bipartite", order.is_bipartite(sparse(spark, sf_dir)))
 
 
-@query("SELECT true AS bipartite")
+@query(f"WITH {sql.SUPPLY} SELECT count(*) FILTER (WHERE (src < 1000000) = (dst < 1000000)) = 0 AS bipartite FROM e")
 def is_bipartite_supply(spark, sf_dir):
     return flag(spark, "bipartite", order.is_bipartite(tables.supply(spark, sf_dir)))
 
@@ -208,6 +208,14 @@ def user_transitions(spark, sf_dir):
     return tables.user_steps(spark, sf_dir).edges.select("src", "dst", "weight")
 
 
-@query(f"WITH RECURSIVE {sql.SUPPLY}, {sql.BOTH} SELECT n.id, (SELECT min(n.id) FROM n JOIN u ON n.id = u.src) AS component FROM n JOIN (SELECT DISTINCT src FROM u) s ON s.src = n.id")
+def _labels_sql(rounds: int) -> str:
+    """The smallest label among neighbours, round by round; the last block is there only where nothing changes any more."""
+    out = [f"WITH RECURSIVE {sql.SUPPLY}, {sql.BOTH}, c0 AS (SELECT DISTINCT src AS id, src AS label FROM u)"]
+    for k in range(rounds):
+        out.append(f"c{k + 1} AS (SELECT a.id, least(a.label, min(b.label)) AS label FROM c{k} a JOIN u ON u.src = a.id JOIN c{k} b ON b.id = u.dst GROUP BY a.id, a.label)")
+    return ", ".join(out) + f" SELECT id, label AS component FROM c{rounds} WHERE (SELECT count(*) FROM c{rounds} x JOIN c{rounds - 1} y USING (id) WHERE x.label <> y.label) = 0"
+
+
+@query(_labels_sql(8))
 def supply_components(spark, sf_dir):
     return component_labels(tables.supply(spark, sf_dir).edges)

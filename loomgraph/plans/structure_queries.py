@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.ordinals import with_ordinal
 from loomgraph.model import Graph
-from loomgraph.operators import flow, matching, trails
+from loomgraph.operators import choices, flow, matching, sets, trails
 from loomgraph.operators.order import component_ids, strong_components
 from loomgraph.plans import sql
+from loomgraph.plans.graph_queries import acyclic
 from loomgraph.plans.registry import query
 from loomgraph.plans.view_queries import GEO, geo
 from loomgraph.sources import tables
@@ -124,3 +125,19 @@ def strong_components_steps(spark, sf_dir):
 def strong_components_supply(spark, sf_dir):
     """Every link leads from a part to a supplier: nothing lies on a circle."""
     return strong_components(tables.supply(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {sql.ACYCLIC}, top AS (SELECT max(dst) AS goal FROM e WHERE src = 0), p(id, route) AS (SELECT 0::BIGINT, [0::BIGINT] UNION ALL SELECT e.dst, list_append(route, e.dst) FROM p JOIN e ON p.id = e.src) SELECT array_to_string(route, '-') AS path FROM p, top WHERE id = goal ORDER BY len(route), route LIMIT 10")
+def simple_paths_to_farthest(spark, sf_dir):
+    """From user 0 to the one of the largest id that it is linked with, so there is a path at every size."""
+    graph = acyclic(spark, sf_dir)
+    goal = graph.edges.where("src = 0").agg(F.max("dst")).first()[0]
+    paths = choices.simple_paths(graph, 0, goal if goal is not None else 0, 10)
+    return paths.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+
+
+@query(f"WITH {sql.SPLIT} SELECT id FROM n EXCEPT SELECT dst FROM e")
+def set_complement_followed(spark, sf_dir):
+    """Users that nobody's heaviest link leads to."""
+    graph = tables.strongest(spark, sf_dir, 1)
+    return sets.complement(graph.edges.select(F.col("dst").alias("id")).distinct(), graph.nodes)
