@@ -9,9 +9,10 @@ from loomgraph.session import materialize
 
 
 def with_ordinal(df: DataFrame, *order, name: str = "ordinal") -> DataFrame:
-    """Adds 0, 1, 2, ... in the given order: ranges are numbered on their own, and their sizes are added up (one row for each range)."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = materialize(parts.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1), "ranges")
+    """Adds 0, 1, 2, ... in the given order: ranges are sorted and numbered on their own, and their sizes are added up (one row for each range)."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_k", F.monotonically_increasing_id())
+    # The number of a row within its task lies in the lower 33 bits, that of the task above.
+    local = materialize(placed.withColumn("_part", F.shiftright("_k", 33)).withColumn("_k", F.col("_k").bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
