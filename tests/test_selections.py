@@ -100,7 +100,8 @@ def test_forests_hold_the_ends_of_what_they_leave_over(spark):
         a, b = sorted(rng.sample(range(9), 2))
         links[a, b] = links.get((a, b), 0) + rng.randrange(1, 4)
     rows = spark.createDataFrame([(a, b, float(w)) for (a, b), w in links.items()], "a long, b long, w double")
-    for best in (6.0, 9.0):
-        for r in cuts._held_by_forests(rows, best, 4).collect():
-            apart = min(sum(w for (x, y), w in links.items() if (mask >> x & 1) != (mask >> y & 1)) for mask in range(1 << 9) if (mask >> r.a & 1) != (mask >> r.b & 1))
-            assert apart >= best
+    held = cuts._held_by_forests(rows, 8.0, 4).collect()
+    assert held
+    for r in held:
+        apart = min(sum(w for (x, y), w in links.items() if (mask >> x & 1) != (mask >> y & 1)) for mask in range(1 << 9) if (mask >> r.a & 1) != (mask >> r.b & 1))
+        assert apart >= 8.0
