@@ -33,13 +33,13 @@ def shortest_path_nodes(spark, sf_dir):
 
 @query("SELECT 1::INTEGER AS closed, true AS negative")
 def negative_cycle_found(spark, sf_dir):
-    """Over the users' links with 4 taken from each weight: what is found is a closed walk of negative weight."""
+    """Over the users' links with 4 taken from each weight: what is found is a closed walk of negative weight; no row where there is none."""
     graph = sparse(spark, sf_dir)
     edges = graph.edges.withColumn("weight", F.col("weight") - 4)
     path = reach.negative_cycle(edges, 0, graph.nodes)
-    steps = spark.createDataFrame([(a, b) for a, b in zip(path, [*path[1:], path[0]], strict=True)], "src long, dst long")
+    steps = spark.createDataFrame(list(zip(path, [*path[1:], *path[:1]], strict=True)), "src long, dst long")
     found = steps.join(edges, ["src", "dst"])
-    return found.agg((F.count(F.lit(1)) == len(path)).cast("int").alias("closed"), (F.sum("weight") < 0).alias("negative"))
+    return found.agg((F.count(F.lit(1)) == len(path)).cast("int").alias("closed"), (F.sum("weight") < 0).alias("negative")).where(F.lit(bool(path)))
 
 
 CLIQUES = f"""WITH RECURSIVE {sql.SPARSE}, {sql.BOTH}, c(members) AS (
