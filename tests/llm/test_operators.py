@@ -344,59 +344,94 @@ def test_lm_scores(docs, none):
     assert lm_scoring.lm_scores(none).count() == 0
 
 
-def test_suffix_tree_is_a_distribution(docs):
-    tree = lm_scoring.suffix_tree(docs.select("text"))
-    assert np.allclose((10.0**tree.log_p).sum(axis=1), 1, atol=1e-4)
-
-
-def plain_tree_scores(rows, least, gain):
-    """The model by its definition, with dictionaries: score by id."""
-    stop, depth = bytes([lm_scoring.STOP]), lm_scoring.DEPTH
-    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 10 == 0
-    words = {k: (t or "").encode().lower().split() for k, t in rows}
-    counts, grams = Counter(), [defaultdict(Counter) for _ in range(depth + 1)]
-    for k, _ in rows:
-        if held(k):
-            continue
-        counts.update([*words[k], b""])
-        text = stop * depth + b" ".join([*words[k], stop])
-        for at in range(depth, len(text)):
-            for d in range(depth + 1):
-                grams[d][text[at - d : at]][text[at]] += 1
-    total = sum(grams[0][b""].values())
-    width = len(grams[0][b""]) + 1
-    p, stays = {}, {b""}
-    for d in range(depth + 1):
-        for context, seen in grams[d].items():
-            n, kinds = sum(seen.values()), len(seen)
-            if d and n < least * total:
+class PlainTree:
+    """A suffix tree by its definition, with dictionaries, from sequences of symbols and their probabilities without context."""
+
+    def __init__(self, sequences, first, least, gain):
+        self.first, self.seen, self.kept, self.stays = first, defaultdict(Counter), {}, {}
+        for seq in sequences:
+            for at, symbol in enumerate(seq):
+                for context in self.contexts(seq, at):
+                    self.seen[context][symbol] += 1
+        for context in sorted(self.seen, key=len):
+            counts = self.seen[context]
+            kept = {x: n for x, n in counts.items() if n >= least}
+            if not kept:
                 continue
-            below = p[context[1:]] if d else defaultdict(lambda: 1 / width)
-            p[context] = {x: (seen[x] + kinds * below[x]) / (n + kinds) for x in range(256)}
-            if d and sum(c * np.log(c / n / below[x]) for x, c in seen.items()) >= gain * kinds:
-                stays.update(context[j:] for j in range(d))
-    tokens, scores = sum(counts.values()), {}
-    for k, _ in rows:
-        text, score, own = stop * depth + b" ".join([*words[k], stop]), 0.0, 0.0
-        token = iter([*words[k], b""])
-        for at in range(depth, len(text)):
-            d = max(j for j in range(depth + 1) if text[at - j : at] in stays)
-            own += np.log10(p[text[at - d : at]][text[at]])
-            if text[at : at + 1] in (b" ", stop):
-                score += np.log10((1 - lm_scoring.SPELLED) * counts[next(token)] / tokens + lm_scoring.SPELLED * 10**own)
-                own = 0.0
-        scores[k] = score
+            n, k = sum(counts.values()), len(counts)
+            below = {x: self.p(context[1:], x) for x in kept}
+            left, left_below = n - sum(kept.values()), 1 - sum(below.values())
+            divergence = sum(c * np.log(c / n / below[x]) for x, c in kept.items()) + (left * np.log(left / n / left_below) if left else 0)
+            if divergence >= gain * len(kept):
+                self.kept[context] = {x: (c + k * below[x]) / (n + k) for x, c in kept.items()}
+                self.stays[context] = max(1e-12, 1 - sum(self.kept[context].values())) / max(1e-12, left_below)
+
+    @staticmethod
+    def contexts(seq, at):
+        before = ["start", *seq[:at]]
+        return [tuple(before[-d:]) for d in range(1, min(lm_scoring.DEPTH, len(before)) + 1)]
+
+    def p(self, context, symbol):
+        if not context:
+            return self.first[symbol]
+        below = self.p(context[1:], symbol)
+        if context not in self.kept:
+            return below
+        return self.kept[context].get(symbol, self.stays[context] * below)
+
+    def score(self, seq):
+        return sum(np.log10(self.p((self.contexts(seq, at) or [()])[-1], x)) for at, x in enumerate(seq))
+
+
+def plain_tree_scores(rows, least, gain, frequent):
+    """The model by its definition: score by id."""
+    held = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+    words = {k: [*(t or "").encode().lower().split(), b""] for k, t in rows}
+    counts = Counter(w for k in words if not held(k) for w in words[k])
+    total = sum(counts.values())
+    often = {w: n for w, n in counts.items() if n >= max(2, frequent * total)}
+    rare = {w: n for w, n in counts.items() if w not in often}
+    n_rare, kinds = sum(rare.values()), max(1, len(rare))
+    symbols = {k: [w if w in often else None for w in x] for k, x in words.items()}
+    tree = PlainTree([x for k, x in symbols.items() if not held(k)], {None: (n_rare + 1) / (total + 1), **{w: n / (total + 1) for w, n in often.items()}}, max(2, least * total), gain)
+    spell = lambda w: [*w, 256]
+    letters = Counter(x for w in rare for x in spell(w))
+    size = sum(letters.values())
+    spelling = PlainTree([spell(w) for w in rare], {x: (letters[x] + 1) / (size + 257) for x in range(257)}, max(2, least * size), gain)
+    scores = {}
+    for k, x in words.items():
+        new = [w for w in x if w not in often]
+        scores[k] = tree.score(symbols[k]) + sum(np.log10(rare.get(w, kinds) / (n_rare + kinds)) + (0 if w in rare else spelling.score(spell(w))) for w in new)
     return scores
 
 
 def test_scores_are_those_of_the_tree(spark):
     rng = random.Random(17)
     texts = [prose(rng, rng.randint(1, 60)) for _ in range(60)]
-    rows = [(k, t) for k, t in enumerate([*texts, *texts[:5], "", None, "never seen words"])]
-    for least, gain in ((5e-4, 2.0), (4e-3, 1.0)):
-        found = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least, gain).collect()}
-        wanted = plain_tree_scores(rows, least, gain)
-        assert all(abs(found[k] - wanted[k]) < 1e-3 * (1 + abs(wanted[k])) for k in wanted), max((abs(found[k] - wanted[k]), k) for k in wanted)
+    rows = [(k, t) for k, t in enumerate([*texts, *texts[:5], "", None, "never seen words", "\u00e9t\u00e9 \u6f22\u5b57"])]
+    for least, gain, frequent in ((1e-6, 0.5, 1e-6), (2e-3, 1.0, 4e-3)):
+        found = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least, gain, frequent).collect()}
+        wanted = plain_tree_scores(rows, least, gain, frequent)
+        assert all(abs(found[k] - wanted[k]) < 1e-6 * (1 + abs(wanted[k])) for k in wanted), max((abs(found[k] - wanted[k]), k) for k in wanted)
+
+
+def test_suffix_tree_is_a_distribution():
+    rng = random.Random(5)
+    seq = [rng.choice("aab" if k % 3 else "bcd") for k in range(400)]
+    tree = PlainTree([seq], {x: 0.25 for x in "abcd"}, 2, 0.5)
+    assert len({len(c) for c in tree.kept}) > 1
+    assert all(abs(sum(tree.p(c, x) for x in "abcd") - 1) < 1e-9 for c in tree.seen)
+
+
+def test_words_of_long_texts():
+    text = b"one  Two\tthree\x0bfour " * 50 + b"x" * 300 + b"\xc2\xa0y z"
+    whole = text.lower().split()
+    lm_scoring.STRETCH, kept = 40, lm_scoring.STRETCH
+    try:
+        assert [w for part in lm_scoring.words_of(text) for w in part] == whole
+    finally:
+        lm_scoring.STRETCH = kept
+    assert list(lm_scoring.words_of(b"")) == []
 
 
 @pytest.fixture(scope="module")
