@@ -3,7 +3,8 @@
 Every sequence has limits on tokens, on segments (pieces) and on loss-bearing tokens. A map task tokenizes its rows and
 packs them as they come, so no token is shuffled and a task holds a bounded window of pieces: long documents fill whole
 sequences, and the rest goes where the dot product of what it needs and what a bin has left is largest. A bin that
-nothing fits is filled by cutting a piece; a task's last pieces are cut into lengths that need no padding.
+nothing fits is filled by cutting pieces, loss-free tokens where the limit on loss is reached; a bin that a limit still
+leaves short is padded. Only a task's last bin is cut into lengths that need no padding.
 """
 
 from __future__ import annotations
@@ -134,19 +135,22 @@ class Packer:
                     room -= sizes[k]
                     if room[0] and room[1]:
                         continue
-                elif room[0] and room[1] and free.any():
-                    k = int(np.argmax(np.where(free, sizes[:, 0], -1)))
-                    key, start, length, loss = pieces[k]
-                    take = int(min(room[0], length - 1))
-                    here = max(0, take - (length - loss))
-                    if here > room[2]:
-                        take, here = take - int(here - room[2]), int(room[2])
-                    if take > 0:
+                elif free.any():
+                    # What a cut gives: the tokens before a piece's loss, then as many with loss as are left.
+                    usable = np.where(free, np.minimum(np.minimum(room[0], sizes[:, 0] - 1), sizes[:, 0] - sizes[:, 2] + room[2]), 0)
+                    k = int(np.argmax(usable))
+                    take = int(usable[k])
+                    if take:
+                        key, start, length, loss = pieces[k]
+                        here = max(0, take - (length - loss))
                         chosen.append((key, start, take, here))
                         pieces[k] = (key, start + take, length - take, loss - here)
                         sizes[k] = (length - take, 1, loss - here)
+                        room -= (take, 1, here)
+                        if room[0] and room[1]:
+                            continue
                 break
-            self.done.extend(self._unpadded(chosen) if not free.any() or room[1] else [chosen])
+            self.done.extend(self._unpadded(chosen) if not until and not free.any() else [chosen])
             if int(free.sum()) == left and not chosen:
                 raise AssertionError("a bin stayed empty")
         self.waiting = [p for p, f in zip(pieces, free.tolist(), strict=True) if f]

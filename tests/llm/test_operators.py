@@ -222,6 +222,19 @@ def test_packer_limits():
     assert got == dict(sizes)
 
 
+def test_bins_that_loss_leaves_short():
+    """Prompts fill what the limit on loss leaves; without any, bins stay short and are not cut into fragments."""
+    for prompt, least in ((0.1, 0.0), (0.0, 0.1)):
+        packer = packing.Packer((1000, 64, 900), window=100)
+        for k in range(600):
+            packer.add(k, 100, 100 - int(100 * prompt))
+        packer.finish()
+        totals = [sum(p[2] for p in own) for own in packer.done]
+        assert sum(totals) == 60_000
+        assert len(totals) <= max(60_000 / 1000, 600 * (100 - int(100 * prompt)) / 900) + 7
+        assert sum(t < 900 for t in totals) <= 7 and all(1 - t / 1000 <= least + 1e-9 for t in totals if t & (t - 1))
+
+
 def test_media_round_trip(docs, none):
     rng = np.random.default_rng(2)
     payloads = [bytes(rng.integers(0, 256, 64 * int(n), dtype=np.uint8)) for n in (1, 2, 63, 64, 65, 300)] + [b"\xff" * 640, bytes(128)]
