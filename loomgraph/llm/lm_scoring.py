@@ -34,7 +34,7 @@ GAIN = 2.0
 #: Words of at least this share of all tokens are symbols: 1 / FREQUENT of them at most, fewer than 2**BITS.
 FREQUENT = 1e-6
 #: Entries that a map task holds before it sends its counts.
-HELD = 1_000_000
+HELD = 2_000_000
 ALPHA = 0.1
 
 BITS = 20
@@ -73,7 +73,7 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[b""] += 1
             for words in words_of(t):
                 counts.update(words)
-        if len(counts) > HELD // 4:
+        if len(counts) > HELD // 8:
             yield sent()
             counts.clear()
     yield sent()
@@ -155,12 +155,19 @@ class SuffixTree:
             yield level, live, nodes
 
     def keys(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The grams of the next level: the number of the context's suffix, the context's first symbol, the symbol after it."""
+        """The grams of the next level: the number of the context's suffix, the context's first symbol, the symbol after it.
+
+        A context is itself a gram of the level before, so where that level does not hold it, no gram after it is frequent.
+        """
         live, nodes = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
-        for _, live, nodes in self._walk(symbols, places):
-            pass
+        frequent = np.ones(len(symbols), bool)
+        for level, live, nodes in self._walk(symbols, places):
+            frequent = np.zeros(len(symbols), bool)
+            frequent[live] = _find(level.grams, nodes << BITS | symbols[live])[1]
         before = _before(symbols, places, len(self.levels) + 1)[live]
         inside = before >= 0
+        if self.levels:
+            inside &= frequent[live - 1]
         return nodes[inside] << 2 * BITS | before[inside] << BITS | symbols[live[inside]]
 
     def probabilities(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -206,13 +213,13 @@ def key_rows(tree: Broadcast, read: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            if batch.num_rows:
-                symbols, offsets = read(batch.column(0))
+            for part in slices([batch], batch.schema.names[0], 1 << 20):
+                symbols, offsets = read(part.column(0))
                 held.append(tree.value.keys(symbols, _places(offsets)))
                 size += len(held[-1])
-            if size > HELD:
-                yield counted(held)
-                held, size = [], 0
+                if size > HELD:
+                    yield counted(held)
+                    held, size = [], 0
         yield counted(held)
 
     return run
