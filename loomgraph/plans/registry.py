@@ -9,7 +9,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("graph_queries", "view_queries", "choice_queries", "element_queries", "structure_queries", "selection_queries")
+MODULES = ("graph_queries", "view_queries", "choice_queries", "element_queries", "structure_queries", "selection_queries", "arrangement_queries")
 
 
 def query(oracle: str | None = None) -> Callable:
