@@ -9,6 +9,7 @@ from loomgraph.model import Graph
 from loomgraph.operators.blocks import all_of, forest_layers
 from loomgraph.operators.components import component_labels
 from loomgraph.operators.order import strong_components
+from loomgraph.operators.reach import hop_levels
 from loomgraph.session import materialize
 
 
@@ -112,21 +113,30 @@ def immediate_dominators(graph: Graph, root: int) -> DataFrame:
 
 
 def simple_paths(graph: Graph, start: int, goal: int, limit: int) -> DataFrame:
-    """(path): up to `limit` paths without a repeated node, the shortest first, then by their nodes."""
-    links = materialize(graph.edges.select("src", "dst").distinct(), "path-links")
-    open_ = materialize(graph.nodes.where(F.col("id") == start).select(F.array("id").alias("path")), "paths")
-    done, found = None, 0
-    while open_.limit(1).count():
-        ended = open_.where(F.element_at("path", -1) == goal)
-        done = ended if done is None else done.union(ended)
-        found = done.limit(limit).count()
-        if found >= limit:
+    """(path): up to `limit` paths without a repeated node, the shortest first, then by their nodes.
+
+    A path that has begun is at least as long as its links and the hops from its end to the goal, and lies waiting until
+    paths of that length are asked for. So only nodes that reach the goal are entered, and no path grows beyond the
+    length at which `limit` paths have ended.
+    """
+    back = graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    hops = materialize(hop_levels(back, graph.nodes.where(F.col("id") == goal).select("id")).select("id", F.col("level").alias("hops")), "path-hops")
+    links = materialize(graph.edges.select("src", "dst").distinct().join(hops.withColumnRenamed("id", "dst"), "dst"), "path-links")
+    path = lambda links: (F.size("path") - 1 + F.col(links)).alias("least")
+    waiting = materialize(hops.where(F.col("id") == start).select(F.array("id").alias("path")).join(hops, F.get("path", 0) == F.col("id")).select("path", path("hops")), "paths")
+    done = waiting.limit(0)
+    while (length := waiting.agg(F.min("least")).first()[0]) is not None:
+        ready, later = waiting.where(F.col("least") == length), waiting.where(F.col("least") > length)
+        while not ready.isEmpty():
+            ends = F.element_at("path", -1)
+            done = done.union(ready.where(ends == goal))
+            going = ready.where(ends != goal).withColumn("src", ends).join(links, "src").where(~F.array_contains("path", F.col("dst")))
+            longer = materialize(going.select(F.concat("path", F.array("dst")).alias("path"), "hops").select("path", path("hops")), "paths")
+            ready, later = longer.where(F.col("least") == length), later.union(longer.where(F.col("least") > length))
+        if done.limit(limit).count() >= limit:
             break
-        going = open_.where(F.element_at("path", -1) != goal).withColumn("src", F.element_at("path", -1))
-        longer = going.join(links, "src").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
-        open_ = materialize(longer, "paths")
-    rows = done if done is not None else open_
-    return rows.orderBy(F.size("path"), "path").limit(limit)
+        waiting = materialize(later, "paths-waiting")
+    return done.select("path").orderBy(F.size("path"), "path").limit(limit)
 
 
 def euler_check(graph: Graph, directed: bool = True) -> bool:
@@ -155,8 +165,10 @@ def maximal_cliques(graph: Graph) -> DataFrame:
     alone = graph.nodes.select("id").join(near.select(F.col("src").alias("id")), "id", "left_anti").select(F.array("id").alias("clique"))
     rows = near.select(F.array("src").alias("clique"), F.filter("near", lambda x: x > F.col("src")).alias("later"), F.filter("near", lambda x: x < F.col("src")).alias("earlier"))
     out = alone
-    while not rows.isEmpty():
+    while True:
         rows = materialize(rows, "cliques")
+        if rows.isEmpty():
+            return out
         out = out.union(rows.where("size(later) = 0 AND size(earlier) = 0").select("clique"))
         grown = rows.withColumn("src", F.explode("later")).join(near, "src")
         rows = grown.select(
@@ -164,7 +176,6 @@ def maximal_cliques(graph: Graph) -> DataFrame:
             F.filter(F.array_intersect("later", "near"), lambda x: x > F.col("src")).alias("later"),
             F.array_union(F.array_intersect("earlier", "near"), F.filter(F.array_intersect("later", "near"), lambda x: x < F.col("src"))).alias("earlier"),
         )
-    return out
 
 
 def feedback_arcs(graph: Graph) -> DataFrame:

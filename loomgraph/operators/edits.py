@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph
+from loomgraph.session import materialize
 
 
 def add_edges(graph: Graph, new: DataFrame) -> Graph:
@@ -19,10 +20,10 @@ def remove_nodes(graph: Graph, gone: DataFrame) -> Graph:
     """The graph without some nodes (id) and the edges at them; what they held moves up to their own container."""
     nodes = graph.nodes.join(gone.select("id"), "id", "left_anti")
     if "parent" in nodes.columns:
-        up = graph.nodes.join(gone.select("id"), "id", "left_semi").select(F.col("id").alias("parent"), F.col("parent").alias("above"))
+        up = materialize(graph.nodes.join(gone.select("id"), "id", "left_semi").select(F.col("id").alias("parent"), F.col("parent").alias("above")), "gone-nodes")
         while not up.join(up.select(F.col("parent").alias("above")), "above", "left_semi").isEmpty():  # containers that go together
             next_ = up.select(F.col("parent").alias("above"), F.col("above").alias("beyond"))
-            up = up.join(next_.withColumn("hit", F.lit(True)), "above", "left").select("parent", F.when(F.col("hit"), F.col("beyond")).otherwise(F.col("above")).alias("above"))
+            up = materialize(up.join(next_.withColumn("hit", F.lit(True)), "above", "left").select("parent", F.when(F.col("hit"), F.col("beyond")).otherwise(F.col("above")).alias("above")), "gone-nodes")
         nodes = nodes.join(up.withColumn("hit", F.lit(True)), "parent", "left").withColumn("parent", F.when(F.col("hit"), F.col("above")).otherwise(F.col("parent"))).select(*graph.nodes.columns)
     ends = gone.select(F.col("id").alias("src"))
     edges = graph.edges.join(ends, "src", "left_anti").join(ends.withColumnRenamed("src", "dst"), "dst", "left_anti")

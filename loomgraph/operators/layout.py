@@ -107,8 +107,10 @@ def concentric(scores: DataFrame, width: float | None = None, spacing: float = 1
     return rows.select("id", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
 
 
-def spiral(nodes: DataFrame, spacing: float = 20.0) -> DataFrame:
-    """(id, x, y): nodes by id on a sunflower spiral, at even density from the middle."""
+def spiral(nodes: DataFrame, spacing: float = 20.0, radius: float | None = None) -> DataFrame:
+    """(id, x, y): nodes by id on a sunflower spiral, at even density from the middle; with a radius, all within it."""
     golden = math.pi * (3 - math.sqrt(5))
+    if radius is not None:
+        spacing = radius / math.sqrt(max(nodes.count(), 1))
     k = F.col("ordinal")
     return with_ordinal(nodes.select("id"), "id").select("id", (F.sqrt(k) * spacing * F.cos(k * golden)).alias("x"), (F.sqrt(k) * spacing * F.sin(k * golden)).alias("y"))

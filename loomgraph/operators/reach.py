@@ -96,24 +96,6 @@ def kth_walk_costs(edges: DataFrame, start: int, k: int, nodes: DataFrame) -> Da
     raise RuntimeError("walks did not settle")
 
 
-def path_to(edges: DataFrame, dist: DataFrame, start: int, goal: int) -> list[int]:
-    """Nodes of one cheapest path, read backwards from the distances of `start`: one small query for each step."""
-    best = {r.id: r.dist for r in dist.where(F.col("id") == goal).collect()}
-    if goal not in best:
-        return []
-    path, at, seen = [goal], goal, {goal}
-    while at != start:
-        steps = edges.where(F.col("dst") == at).join(dist.select(F.col("id").alias("src"), F.col("dist").alias("before")), "src")
-        found = steps.where(F.abs(F.col("before") + F.col("weight") - F.lit(best[at])) < 1e-9).where(~F.col("src").isin(list(seen))).orderBy("before", "src").limit(1).collect()
-        if not found:
-            break
-        best[found[0].src] = found[0].before
-        at = found[0].src
-        seen.add(at)
-        path.append(at)
-    return path[::-1]
-
-
 def shortest_path_tree(edges: DataFrame, sources: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, id, dist, parent): least weights, and the node before each on one cheapest path; a source has none.
 

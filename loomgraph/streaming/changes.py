@@ -30,26 +30,44 @@ def last_states(batch: DataFrame) -> DataFrame:
     return batch.groupBy("element_id").agg(F.max(F.struct("seq", "kind", "value")).alias("m"), F.count(F.lit(1)).alias("n")).select("element_id", "m.seq", "m.kind", "m.value", "n")
 
 
-def applied(changes: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
+def versions(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The versions in a folder that were written to their end, by the batch that made them."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in files.listStatus(root)] if files.exists(root) else []
+    done = [x for x in names if x.startswith("version-") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}/_SUCCESS"))]
+    return {int(x.removeprefix("version-")): f"{folder}/{x}" for x in done}
+
+
+def applied_batch(batch: DataFrame, number: int, folder: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+    """Merges a micro-batch with the newest version from before it and writes the result as the version of its number.
+
+    What it reads depends on the folder alone, so a batch that is run again, in this process or after a restart, reads
+    what it read the first time and writes the same rows.
+    """
+    before = {k: path for k, path in versions(batch.sparkSession, folder).items() if k < number}
+    old = batch.sparkSession.read.parquet(before[max(before)]) if before else None
+    merge(old, batch).write.mode("overwrite").parquet(f"{folder}/version-{number}")
+
+
+def applied(changes: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
     """Runs the stream to its end; each micro-batch is merged with the table so far and written as a new version.
 
-    Versions are never changed, so the one before is the undo state; a batch that is run again writes the same rows.
+    Versions are never changed by later batches, so the one before is the undo state. With a folder of an earlier run
+    the stream goes on where that run ended.
     """
     spark = changes.sparkSession
-    folder = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
-    state: dict[str, str] = {}
+    folder = folder or f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
 
     def step(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(state["path"]) if state else None
-        path = f"{folder}/version-{number}"
-        merge(old, batch).write.mode("overwrite").parquet(path)
-        state["path"] = path
+        applied_batch(batch, number, folder, merge)
 
     run = changes.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    if not state:
+    made = versions(spark, folder)
+    if not made:
         return merge(None, spark.createDataFrame([], changes.schema))
-    return spark.read.parquet(state["path"])
+    return spark.read.parquet(made[max(made)])
 
 
 def merge_last(old: DataFrame | None, batch: DataFrame) -> DataFrame:

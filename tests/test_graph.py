@@ -27,7 +27,8 @@ def test_diamond_distances(spark):
     start = g.nodes.where("id = 0")
     found = reach.distances(g.edges, start, g.nodes)
     assert rows(found, "id", "dist") == [(0, 0.0), (1, 1.0), (2, 4.0), (3, 3.0)]
-    assert reach.path_to(g.edges, found.select("id", "dist"), 0, 3) == [0, 1, 3]
+    tree = reach.shortest_path_tree(g.edges, start, g.nodes)
+    assert rows(reach.tree_paths(tree).where("id = 3"), "path") == [([0, 1, 3],)]
     assert rows(reach.kth_walk_costs(g.edges, 0, 2, g.nodes), "id", "dist") == [(3, 5.0)]
 
 
