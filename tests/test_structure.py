@@ -167,3 +167,14 @@ def test_strong_components(graph, seed):
                     reach[v].add(b)
     got = {r.id: r.component for r in strong_components(graph(edges, range(n))).collect()}
     assert got == {v: min(u for u in reach[v] if v in reach[u]) for v in range(n)}
+
+
+def test_parts_with_the_ids_of_suppliers_close_no_circle(spark, tmp_path):
+    from loomgraph.plans import registry
+
+    # Part 1000001 is supplied by 2, part 1000002 by 1: one circle where supplier k and part 1000000 + k are one node.
+    tables = {"part": ("p_partkey long", [(7,), (1000001,), (1000002,)]), "supplier": ("s_suppkey long", [(1,), (2,)]), "lineitem": ("l_partkey long, l_suppkey long, l_quantity double", [(1000001, 2, 1.0), (1000002, 1, 1.0), (7, 1, 2.0)])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = sorted(map(tuple, registry.queries()["strong_components_supply"](spark, str(tmp_path)).collect()))
+    assert found == [(x, x) for x in (7, 1000001, 1000001, 1000002, 1000002)]
