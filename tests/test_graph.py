@@ -1,7 +1,9 @@
 """Graph operators on fixed small graphs and on their edge cases."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 
 from loomgraph.model import Graph
@@ -180,3 +182,36 @@ def test_depth_of_containers(spark):
         return rows(documents.violations(nodes, spark.createDataFrame([], "src long, dst long, weight double")), "check", "id")
 
     assert faults(9) == [] and faults(10) == [(4, 9)]
+
+
+def affinities(points, damping, rounds):
+    """Affinity propagation with all messages at once."""
+    at = np.array(points)
+    s = -((at[:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
+    own = np.eye(len(s), dtype=bool)
+    s[own] = np.median(s[~own])
+    r, a, lines = np.zeros_like(s), np.zeros_like(s), np.arange(len(s))
+    for _ in range(rounds):
+        v = a + s
+        first = v.argmax(axis=1)
+        top = v[lines, first]
+        v[lines, first] = -np.inf
+        best = np.repeat(top[:, None], len(s), axis=1)
+        best[lines, first] = v.max(axis=1)
+        r = damping * r + (1 - damping) * (s - best)
+        up = np.where(own, 0, np.maximum(r, 0))
+        asked = np.where(own, up.sum(axis=0), np.minimum(0, r.diagonal() + up.sum(axis=0) - up))
+        a = damping * a + (1 - damping) * asked
+    exemplars = np.flatnonzero((r + a).diagonal() > 0)
+    return exemplars[s[:, exemplars].argmax(axis=1)]
+
+
+def test_affinity_in_tiles_equals_that_of_all_messages(spark, monkeypatch):
+    n = 45
+    monkeypatch.setattr(cluster, "TILE", 20)
+    rng = random.Random(n)
+    points = [(rng.gauss(9 * (k % 4), 1), rng.gauss(0, 1)) for k in range(n)]
+    slots = affinities(points, 0.5, 4)
+    least = {int(s): min(k for k in range(n) if slots[k] == s) for s in slots}
+    got = cluster.affinity_clusters(spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "id long, x double, y double"), 0.5, 4)
+    assert rows(got, "id", "group_id") == [(k, least[int(slots[k])]) for k in range(n)]
