@@ -1,11 +1,14 @@
 """Operators whose rows may not grow with the square of the input: results against brute force, and what they write."""
 
+import math
+import random
 from collections import deque
 
 import pyarrow.dataset as ds
+import pytest
 
 from loomgraph.model import Graph
-from loomgraph.operators import centrality
+from loomgraph.operators import centrality, cluster
 from loomgraph.session import shared_dir
 
 
@@ -40,3 +43,36 @@ def test_closeness_keeps_no_row_for_each_pair(spark, tmp_path, monkeypatch):
     assert len(found) == n
     assert all(abs(found[k] - score(k)) < 1e-9 for k in range(n))
     assert 0 < rows_written(spark, "close-") < n * n / 10 and not rows_written(spark, "hop-")
+
+
+def brute_groups(points, threshold, metric):
+    far = {"euclidean": math.hypot, "manhattan": lambda x, y: abs(x) + abs(y), "chebyshev": lambda x, y: max(abs(x), abs(y))}[metric]
+    low = {i: i for i, _, _ in points}
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for k, (i, x, y) in enumerate(points):
+        for j, v, w in points[:k]:
+            if None not in (x, y, v, w) and far(x - v, y - w) <= threshold:
+                a, b = sorted((root(i), root(j)))
+                low[b] = a
+    return {(i, root(i)) for i in low}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_metric_clusters_of_crowds_equal_brute_force(spark, tmp_path, monkeypatch, metric):
+    monkeypatch.setattr("loomgraph.session.shared_dir", lambda _: f"file:{tmp_path}")
+    monkeypatch.setitem(globals(), "shared_dir", lambda _: f"file:{tmp_path}")
+    draw = random.Random(3)
+    # Scattered points; crowds that almost or just touch, whose cells have to be split; and places that are none.
+    places = [(draw.uniform(0, 30), draw.uniform(0, 30)) for _ in range(200)]
+    places += [(100 * k + gap * side + draw.uniform(0, 0.3), draw.uniform(0, 0.3)) for k, gap in enumerate((1.28, 0.99, 1.31), 1) for side in (0, 1) for _ in range(90)]
+    places += [(None, 1.0), (float("nan"), 1.0), (float("inf"), 2.0), (float("inf"), 2.0)]
+    points = [(i, x, y) for i, (x, y) in enumerate(places)] + [(3, 101.0, 0.1)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    found = {(r.id, r.group_id) for r in cluster.metric_clusters(df, 1.0, metric).collect()}
+    assert found == brute_groups(points, 1.0, metric)
+    assert rows_written(spark, "component-links") < 5 * len(points)
