@@ -6,10 +6,13 @@ from collections import deque
 
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.model import Graph
 from loomgraph.operators import centrality, cluster
+from loomgraph.plans.view_queries import geo
 from loomgraph.session import shared_dir
+from loomgraph.sources import tables
 
 
 def rows_written(spark, label):
@@ -76,3 +79,13 @@ def test_metric_clusters_of_crowds_equal_brute_force(spark, tmp_path, monkeypatc
     found = {(r.id, r.group_id) for r in cluster.metric_clusters(df, 1.0, metric).collect()}
     assert found == brute_groups(points, 1.0, metric)
     assert rows_written(spark, "component-links") < 5 * len(points)
+
+
+def test_links_are_dealt_over_more_tasks_the_more_lines_there_are(spark, monkeypatch):
+    monkeypatch.setattr("loomgraph.session.ROWS", 500)
+    lines = tables.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    graph = tables.supply(spark, "/root/testdata/sf0.001")
+    _, drawn = geo(spark, "/root/testdata/sf0.001")
+    for links in (graph.edges, graph.undirected(), drawn):
+        rows = links.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(rows) > 4 and max(r.n for r in rows) <= 1000 < lines
