@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph
-from loomgraph.operators import centrality, cluster
+from loomgraph.operators import centrality, cluster, trails
 from loomgraph.plans.view_queries import geo
 from loomgraph.session import shared_dir
 from loomgraph.sources import tables
@@ -89,3 +89,12 @@ def test_links_are_dealt_over_more_tasks_the_more_lines_there_are(spark, monkeyp
     for links in (graph.edges, graph.undirected(), drawn):
         rows = links.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
         assert len(rows) > 4 and max(r.n for r in rows) <= 1000 < lines
+
+
+def test_depth_first_ranks_its_walk_once(spark, monkeypatch):
+    calls, ranks = [], trails.list_ranks
+    monkeypatch.setattr(trails, "list_ranks", lambda *args: calls.append(args) or ranks(*args))
+    links = spark.createDataFrame([(1, 5, 1.0), (1, 2, 1.0), (2, 9, 1.0), (7, 3, 1.0)], "src long, dst long, weight double")
+    found = {tuple(r) for r in trails.depth_first(Graph.from_edges(links)).select("id", "root", "pre", "post").collect()}
+    assert found == {(1, 1, 0, 3), (2, 1, 1, 1), (9, 1, 2, 0), (5, 1, 3, 2), (7, 7, 4, 5), (3, 7, 5, 4)}
+    assert len(calls) == 1
