@@ -38,6 +38,8 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou", "(": "c", "<": "c", "€": "e", "£": "l",
 }
 SEPARATORS = " .-_*~'"
+#: Characters whose four-grams are counted at once.
+STRETCH = 1 << 18
 
 #: Character codes of the source model: 0 for what is no letter, 1 to 26, and 27 for any byte of other letters.
 CODES = 28
@@ -55,6 +57,17 @@ REPEATED = re.compile(r"(.)\1{2,}", re.DOTALL)
 NOT_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+def add_four_grams(data: np.ndarray, total: np.ndarray) -> None:
+    """Counts the four-grams of some bytes, in stretches that share three characters, so that temporaries stay small beside them."""
+    edge, small = np.zeros(3, np.int32), CODE_OF.astype(np.int32)
+    for start in range(0, len(data) + 1, STRETCH):
+        before = small[data[start - 3 : start]] if start else edge
+        after = edge[: int(start + STRETCH > len(data))]
+        codes = np.concatenate([before, small[data[start : start + STRETCH]], after])
+        grams = ((codes[:-3] * CODES + codes[1:-2]) * CODES + codes[2:-1]) * CODES + codes[3:]
+        total += np.bincount(grams, minlength=CODES**4)
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): counts of character four-grams over all documents, as codes in base CODES."""
     schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
@@ -62,9 +75,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CODES**4, np.int64)
         for part in slices(batches):
-            codes = np.concatenate([np.zeros(3, np.int64), CODE_OF[text_bytes(part.column(0))[0]], [0]])
-            grams = ((codes[:-3] * CODES + codes[1:-2]) * CODES + codes[2:-1]) * CODES + codes[3:]
-            total += np.bincount(grams, minlength=CODES**4)
+            add_four_grams(text_bytes(part.column(0))[0], total)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": some, "n": total[some]}, schema=schema)
 
