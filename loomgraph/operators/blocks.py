@@ -1,82 +1,83 @@
 """Blocks (biconnected components) and cut vertices without a local kernel.
 
-Over a breadth-first forest every other edge joins two nodes of which neither is above the other. Each forest edge is
-named by its lower node. Two forest edges lie on a common circle if another edge joins their lower nodes, or if the
-subtree of the lower one reaches out of the subtree of the node between them. Components of these relations are the
-blocks. Subtree sizes, numbers in depth-first order and the reach of subtrees are computed level by level.
+A spanning forest is rooted by a tour along both sides of its edges, which is a ranked list, so nothing takes as many
+rounds as the forest is deep. Each forest edge is named by its lower node. Two forest edges lie on a common circle if
+another edge joins their lower nodes, of which neither is above the other, or if the subtree of the lower one reaches out
+of the subtree of the node between them. Components of these relations are the blocks. A subtree is a stretch of the
+tour; what it reaches is put together from stretches of powers of two.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.ordinals import with_ordinal
 from loomgraph.model import Graph
 from loomgraph.operators.components import component_labels
+from loomgraph.operators.lists import list_ranks
+from loomgraph.operators.order import spanning_forest
 from loomgraph.session import materialize
 
 
-def forest_layers(pairs: DataFrame) -> list[DataFrame]:
-    """(id, parent) by levels of a breadth-first forest over unordered pairs (a, b), from each component's smallest node."""
-    both = materialize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")), "forest-links")
-    roots = component_labels(pairs, "a", "b").select(F.col("component").alias("id")).distinct()
-    layer = materialize(roots.select("id", F.lit(None).cast("long").alias("parent")), "forest-layer")
-    layers, seen = [layer], layer.select("id")
-    while True:
-        reached = layer.join(both, layer.id == both.src).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        layer = materialize(reached.join(seen, "id", "left_anti").select("id", "parent"), "forest-layer")
-        if not layer.limit(1).count():
-            return layers
-        layers.append(layer)
-        seen = seen.union(layer.select("id"))
-        if len(layers) % 8 == 0:
-            seen = materialize(seen, "forest-seen")
+def rooted_forest(pairs: DataFrame) -> DataFrame:
+    """(tree, id, parent, first, last) of a spanning forest over unordered pairs (a, b); tree is each component's smallest node, its root.
+
+    first and last are the steps of a tour around the tree that lead down to a node and up from it. What lies below a node
+    has a first between the two. Roots have no parent and lie around all steps.
+    """
+    labels = materialize(component_labels(pairs, "a", "b"), "tour-trees")
+    forest = materialize(spanning_forest(Graph.from_edges(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight")))).select("src", "dst"), "tour-links")
+    steps = materialize(with_ordinal(forest.union(forest.select("dst", "src")), "src", "dst", name="e").select("e", "src", "dst"), "tour-steps")
+    n = steps.count()
+    # A step to a node is followed by the node's next step after the one back, round and round; at a root the round ends.
+    turns = steps.groupBy(F.col("src").alias("dst")).agg(F.min("e").alias("low"), F.max("e").alias("high"))
+    back = steps.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("e").alias("back"))
+    rows = steps.join(back, ["src", "dst"]).join(turns, "dst").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("tree")), "dst")
+    follower = F.when(F.col("back") < F.col("high"), F.col("back") + 1).when(F.col("dst") != F.col("tree"), F.col("low"))
+    tour = materialize(rows.select("e", "src", "dst", "back", "tree", follower.alias("next"), F.lit(1).alias("behind")), "tour")
+    place = materialize(list_ranks(tour.select("e", "next", "behind"), "behind").select("e", (F.lit(n - 1) - F.col("behind")).alias("first")), "tour-places")
+    down = tour.join(place, "e").join(place.select(F.col("e").alias("back"), F.col("first").alias("last")), "back").where("first < last")
+    roots = labels.where("id = component").select(F.col("component").alias("tree"), "id", F.lit(None).cast("long").alias("parent"), F.lit(-1).cast("long").alias("first"), F.lit(n).cast("long").alias("last"))
+    return materialize(roots.union(down.select("tree", F.col("dst").alias("id"), F.col("src").alias("parent"), "first", "last")), "tour-forest")
+
 
+def over_subtrees(forest: DataFrame, values: DataFrame, **how: Callable[[str], Column]) -> DataFrame:
+    """(id, columns of `how`) for all nodes but roots: each column of values (id, columns) put together over the node and all below it.
 
-def all_of(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    `how` gives a function for each column that may take parts in any order, such as min or bit_xor. Nodes are added up in
+    stretches of 1, 2, 4, ... steps, and each subtree takes the few that it is made of.
+    """
+    inner = forest.where("parent IS NOT NULL")
+    top = max(1, int(inner.agg(F.max("last")).first()[0] or 0).bit_length())
+    levels = F.sequence(F.lit(0), F.lit(top))
+    low, high = (lambda k: F.floor((F.col("first") + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1) / F.call_function("shiftleft", F.lit(1).cast("long"), k)), lambda k: F.call_function("shiftright", F.col("last"), k))
+    each = inner.join(values, "id").select("tree", "first", *how, F.explode(levels).alias("level"))
+    sums = each.groupBy("tree", "level", F.call_function("shiftright", F.col("first"), F.col("level")).alias("part")).agg(*(f(c).alias(c) for c, f in how.items()))
+    sums = materialize(sums, "subtree-parts")
+    left = F.transform(F.filter(levels, lambda k: (low(k) < high(k)) & (low(k) % 2 == 1)), lambda k: F.struct(k.alias("level"), low(k).alias("part")))
+    right = F.transform(F.filter(levels, lambda k: (low(k) < high(k)) & (high(k) % 2 == 1)), lambda k: F.struct(k.alias("level"), (high(k) - 1).alias("part")))
+    pieces = inner.select("tree", "id", F.explode(F.concat(left, right)).alias("p")).select("tree", "id", "p.level", "p.part")
+    return pieces.join(sums, ["tree", "level", "part"]).groupBy("id").agg(*(f(c).alias(c) for c, f in how.items()))
 
 
 def block_edges(graph: Graph) -> DataFrame:
     """(block, id, parent): forest edges by their block; a block is named by its smallest lower node."""
     pairs = materialize(graph.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "block-pairs")
-    layers = forest_layers(pairs)
-    size, sized = None, []
-    for layer in reversed(layers):
-        rows = layer if size is None else layer.join(size.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("below")), "id", "left")
-        size = materialize(rows.select("id", "parent", (F.lit(1) + (F.coalesce("below", F.lit(0)) if size is not None else F.lit(0))).cast("long").alias("size")), "block-sizes")
-        sized.append(size)
-    sized.reverse()
-    before = Window.partitionBy("parent").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    number = materialize(sized[0].select("id", "parent", "size", F.lit(0).cast("long").alias("pre")), "block-numbers")
-    numbered = [number]
-    for rows in sized[1:]:
-        up = number.select(F.col("id").alias("parent"), F.col("pre").alias("at"))
-        number = materialize(rows.withColumn("left", F.coalesce(F.sum("size").over(before), F.lit(0))).join(up, "parent").select("id", "parent", "size", (F.col("at") + 1 + F.col("left")).alias("pre")), "block-numbers")
-        numbered.append(number)
-    nodes = materialize(all_of(numbered), "block-nodes")
-    forest = nodes.where("parent IS NOT NULL").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
-    other = materialize(pairs.join(forest, ["a", "b"], "left_anti"), "block-others")
-    ends = other.union(other.select("b", "a"))
-    near = ends.join(nodes.select(F.col("id").alias("b"), "pre"), "b").groupBy(F.col("a").alias("id")).agg(F.min("pre").alias("lo"), F.max("pre").alias("hi"))
-    near = materialize(near, "block-near")
-    reach, reaches = None, []
-    for rows in reversed(numbered):
-        joined = rows.join(near, "id", "left")
-        if reach is not None:
-            joined = joined.join(reach.groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h")), "id", "left")
-        else:
-            joined = joined.withColumn("l", F.lit(None).cast("long")).withColumn("h", F.lit(None).cast("long"))
-        reach = materialize(joined.select("id", "parent", "pre", "size", F.least("pre", "lo", "l").alias("low"), F.greatest("pre", "hi", "h").alias("high")), "block-reach")
-        reaches.append(reach)
-    every = all_of(reaches)
-    above = nodes.where("parent IS NOT NULL").select(F.col("id").alias("parent"), F.col("pre").alias("p"), F.col("size").alias("s"))
-    out = every.join(above, "parent").where("low < p OR high >= p + s").select(F.col("id").alias("a"), F.col("parent").alias("b"))
-    labels = component_labels(out.union(other), "a", "b")
-    lower = nodes.where("parent IS NOT NULL").select("id", "parent")
+    nodes = rooted_forest(pairs)
+    lower = nodes.where("parent IS NOT NULL").select("id", "parent", "first", "last")
+    forest = lower.select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+    of = lambda k: nodes.select(F.col("id").alias(k), F.col("first").alias(f"{k}0"), F.col("last").alias(f"{k}1"))
+    other = materialize(pairs.join(forest, ["a", "b"], "left_anti").join(of("a"), "a").join(of("b"), "b"), "block-others")
+    reached = lower.select("id", F.col("first").alias("low"), F.col("first").alias("high"))
+    reached = reached.union(other.select("a", "b0", "b0")).union(other.select("b", "a0", "a0"))
+    reach = over_subtrees(nodes, reached.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")), low=F.min, high=F.max)
+    above = lower.select(F.col("id").alias("parent"), F.col("first").alias("p0"), F.col("last").alias("p1"))
+    out = reach.join(lower.select("id", "parent"), "id").join(above, "parent").where("low < p0 OR high > p1").select(F.col("id").alias("a"), F.col("parent").alias("b"))
+    beside = other.where("a1 < b0 OR b1 < a0").select("a", "b")
+    labels = component_labels(out.union(beside), "a", "b")
     return lower.join(labels, "id", "left").select(F.coalesce("component", "id").alias("block"), "id", "parent")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.model import Graph
-from loomgraph.operators.blocks import all_of, forest_layers
+from loomgraph.operators.blocks import over_subtrees, rooted_forest
 from loomgraph.operators.components import component_labels
 from loomgraph.operators.order import strong_components
 from loomgraph.operators.reach import hop_levels
@@ -57,30 +57,22 @@ def colouring(graph: Graph, seed: int = 1) -> DataFrame:
 def bridges(graph: Graph, seed: int = 1) -> DataFrame:
     """(src, dst) with src < dst: edges whose loss parts a component; parallel edges protect each other, loops are none.
 
-    A breadth-first forest is built from the smallest node of each component. Every edge outside it gets a random label,
+    A spanning forest is rooted at the smallest node of each component. Every edge outside it gets a random label,
     and a forest edge the XOR of the labels of those that close a circle over it: it is a bridge if that is 0. Two
     labels of 64 bits keep the chance of an error below 2**-100 for any graph that can be stored.
     """
     pairs = graph.edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     pairs = materialize(pairs, "bridge-pairs")
-    layers = forest_layers(pairs)
-    seen = all_of(layers)
-    tree = materialize(seen.where("parent IS NOT NULL").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b")), "bridge-tree")
+    nodes = rooted_forest(pairs)
+    lower = nodes.where("parent IS NOT NULL").select("id", "parent")
+    tree = lower.select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
     single = pairs.where("n = 1").join(tree, ["a", "b"], "left_anti").select("a", "b")
     extra = pairs.where("n > 1").select("a", "b")
     closing = single.union(extra).select("a", "b", F.xxhash64("a", "b", F.lit(seed)).alias("x"), F.xxhash64("b", "a", F.lit(seed + 1)).alias("y"))
-    own = materialize(closing.select(F.col("a").alias("id"), "x", "y").union(closing.select("b", "x", "y")).groupBy("id").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")), "bridge-own")
-    found, up = None, None
-    for layer in reversed(layers[1:]):
-        rows = layer.select("id", "parent").join(own, "id", "left")
-        if up is not None:
-            rows = rows.join(up, "id", "left")
-        total = [F.coalesce(k, F.lit(0)).bitwiseXOR(F.coalesce(f"u{k}", F.lit(0)) if up is not None else F.lit(0)).cast("long").alias(k) for k in ("x", "y")]
-        rows = materialize(rows.select("id", "parent", *total), "bridge-sums")
-        here = rows.where("x = 0 AND y = 0").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"))
-        found = here if found is None else found.union(here)
-        up = rows.groupBy(F.col("parent").alias("id")).agg(F.bit_xor("x").alias("ux"), F.bit_xor("y").alias("uy"))
-    return found if found is not None else pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).limit(0)
+    none = lower.select("id", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    own = none.union(closing.select("a", "x", "y")).union(closing.select("b", "x", "y")).groupBy("id").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    sums = over_subtrees(nodes, own, x=F.bit_xor, y=F.bit_xor)
+    return sums.where("x = 0 AND y = 0").join(lower, "id").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"))
 
 
 def dominators(graph: Graph, root: int) -> DataFrame:
