@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,13 +52,48 @@ def _held_by_ways(links: DataFrame, best: float) -> DataFrame:
     few = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MIDDLE).select("a")
     over = both.join(few, "a").select(F.col("a").alias("m"), F.col("b").alias("x"), F.col("w").alias("p"))
     ways = over.join(over.select("m", F.col("x").alias("y"), F.col("p").alias("q")), "m").where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum(F.least("p", "q")).alias("more"))
-    return links.join(ways, ["a", "b"], "left").where(F.col("w") + F.coalesce("more", F.lit(0.0)) >= best).select("a", "b")
+    return ways.join(links, ["a", "b"], "left").where(F.coalesce("w", F.lit(0.0)) + F.col("more") >= best).select("a", "b")
+
+
+def _held(links: DataFrame, best: float) -> list:
+    """What finds pairs that hold together, in the order of what it costs; each is left for what those before it do not find."""
+    parts = math.ceil(best / links.agg(F.percentile_approx("w", 0.75)).first()[0])
+    if parts > MOST_FORESTS:
+        return [_held_by_ways]
+    n = F.least("n", F.lit(MIDDLE + 1))
+    ends = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    sizes = ends.agg(F.sum("n").alias("links"), F.sum(F.when(n <= MIDDLE, n * (n - 1) / 2).otherwise(0)).alias("ways"), F.max(F.abs("v")).alias("id")).first()
+    classes, forests = (partial(held, parts=parts) for held in (_held_by_classes, _held_by_forests))
+    found = [_held_by_ways, forests] if sizes.ways <= sizes.links else [forests, _held_by_ways]
+    # Classes number the nodes anew, by up to so many times their ids.
+    return [classes, *found] if sizes.id < 1 << 56 else found
+
+
+def _in_units(links: DataFrame, best: float, parts: int) -> DataFrame:
+    """(src, dst, units): how often a 1 / parts of the best cut goes into each link, where it does."""
+    return links.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.floor(F.col("w") * parts / F.lit(best)).cast("double").alias("units")).where("units >= 1")
+
+
+def _held_by_classes(links: DataFrame, best: float, parts: int) -> DataFrame:
+    """Nodes that each of `parts` classes of links holds together, so that as many ways of a unit lie between them.
+
+    A link's units go to different classes, the first by a hash. All classes are labelled at once: a node has a number in each.
+    """
+    first = F.pmod(F.xxhash64("src", "dst"), F.lit(parts))
+    each = _in_units(links, best, parts).select("src", "dst", F.explode(F.sequence(first, first + F.least("units", F.lit(parts)).cast("long") - 1)).alias("k"))
+    number = lambda end: (F.col(end) * parts + F.col("k") % parts).alias(end)
+    labels = component_labels(each.select(number("src"), number("dst")))
+    slots = F.array_sort(F.collect_list(F.struct(F.pmod("id", F.lit(parts)).alias("k"), "component")))
+    groups = labels.groupBy(F.expr(f"(id - pmod(id, {parts})) div {parts}").alias("b")).agg(slots.alias("slots")).where(F.size("slots") == parts)
+    groups = materialize(groups.select("b", F.col("slots.component").alias("slots")), "cut-classes")
+    low = groups.groupBy("slots").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return groups.join(low, "slots").where("a <> b").select("a", "b")
 
 
 def _held_by_forests(links: DataFrame, best: float, parts: int) -> DataFrame:
     """Links that are left over when parts - 1 forests are taken, each of a unit of 1 / parts of the best cut from its links."""
     rounds = Rounds("cut-units")
-    rest = rounds.put(links.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.floor(F.col("w") * parts / F.lit(best)).cast("double").alias("units")).where("units >= 1"))
+    rest = rounds.put(_in_units(links, best, parts))
     for _ in range(parts - 1):
         forest = spanning_forest(Graph.from_edges(rest.select("src", "dst", (-F.col("units")).alias("weight"))))
         taken = forest.select("src", "dst", F.lit(1.0).alias("taken"))
@@ -76,11 +112,12 @@ def _contracted(links: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFr
             return links, members, best, side
         if light.w < best:
             best, side = light.w, materialize(members.where(F.col("to") == light.v).select("id"), "cut-side")
-        heavy, n = counted(_held_by_ways(links, best), "cut-heavy")
+        heavy, n = counted(links.where(F.col("w") >= best).select("a", "b"), "cut-heavy")
         if not n:
-            parts = math.ceil(best / links.agg(F.percentile_approx("w", 0.75)).first()[0])
-            if parts <= MOST_FORESTS:
-                heavy, n = counted(_held_by_forests(links, best, parts), "cut-heavy")
+            for held in _held(links, best):
+                heavy, n = counted(held(links, best), "cut-heavy")
+                if n:
+                    break
         if not n:
             return links, members, best, side
         names = component_labels(heavy, "a", "b").select(F.col("id").alias("v"), F.col("component").alias("to"))
