@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+
 import __spark_entry__
 from loomgraph.operators import cuts
 
@@ -34,3 +36,17 @@ def test_classes_and_ways_hold_their_pairs_together(spark):
         assert pairs and all(parting(a, b) >= best for a, b in pairs)
     # Two nodes without a link of their own are merged too where enough ways lie between them.
     assert pairs - linked
+
+
+def test_least_cut_with_shared_ids_in_one_piece(spark, tmp_path):
+    tables = {
+        "part": ([(0,), (1_000_000,)], "p_partkey long"),
+        "supplier": ([(0,), (1,)], "s_suppkey long"),
+        "lineitem": ([(0, 0, 5.0), (1_000_000, 1, 3.0), (0, 1, 4.0)], "l_partkey long, l_suppkey long, l_quantity double"),
+    }
+    db = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    row = __spark_entry__.queries()["global_min_cut"](spark, str(tmp_path)).first()
+    assert db.execute(__spark_entry__.oracle_sql()["global_min_cut"]).fetchall() == [(row.most, row.parted, row.weight_is_crossing)]
